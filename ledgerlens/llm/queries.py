@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import connected_groups
+from ledgerlens.llm.split import split_oversized
 from ledgerlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +45,13 @@ def query(name: str, sql: str | None = None):
 )
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_groups(table(spark, folder, "source_alignment"))
+
+
+@query("p5_found", "SELECT DISTINCT id AS node_id FROM evidence_node WHERE length(text_content) > 4000")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(table(spark, folder, "evidence_node")).filter("piece_no = 1").select(F.col("id").alias("node_id"))
+
+
+@query("p5_pieces")
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(table(spark, folder, "evidence_node")).withColumnRenamed("id", "node_id")
