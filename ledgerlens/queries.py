@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.intervals import periods_and_gaps
+from ledgerlens.runtime import ship
 from ledgerlens.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +19,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query, with its SQL where there is one."""
 
     def add(f: Query) -> Query:
-        QUERIES[name] = f
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return f(spark, folder)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return f
