@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import connected_groups
 from ledgerlens.llm.split import split_oversized
+from ledgerlens.runtime import ship
 from ledgerlens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +20,11 @@ def query(name: str, sql: str | None = None):
     """Register a query, with its SQL where there is one."""
 
     def add(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return f(spark, folder)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return f
