@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import connected_groups
+from ledgerlens.llm.packing import pack
 from ledgerlens.llm.split import split_oversized
 from ledgerlens.runtime import ship
 from ledgerlens.sources.tables import table
@@ -60,3 +61,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p5_pieces")
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "evidence_node")).withColumnRenamed("id", "node_id")
+
+
+@query("p8_containers")
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"))
