@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import connected_groups
 from ledgerlens.llm.packing import pack
+from ledgerlens.llm.residue import find_residue
 from ledgerlens.llm.split import split_oversized
 from ledgerlens.runtime import ship
 from ledgerlens.sources.tables import table
@@ -66,3 +67,8 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 @query("p8_containers")
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_residue(table(spark, folder, "documents")).filter("is_residue").select("doc_id")
