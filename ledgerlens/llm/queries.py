@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import connected_groups
+from ledgerlens.llm.leakage import find_leaks
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.residue import find_residue
 from ledgerlens.llm.split import split_oversized
@@ -72,3 +73,8 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 @query("p10_found")
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_residue(table(spark, folder, "documents")).filter("is_residue").select("doc_id")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("item_id", "doc_id")
