@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import connected_groups
 from ledgerlens.llm.leakage import find_leaks
+from ledgerlens.llm.names import variant_groups, variant_pairs
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.residue import find_residue
 from ledgerlens.llm.split import split_oversized
@@ -78,3 +79,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p9_found")
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("item_id", "doc_id")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variant_pairs(variant_groups(table(spark, folder, "entity")))
