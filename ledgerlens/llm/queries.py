@@ -12,6 +12,7 @@ from ledgerlens.llm.leakage import find_leaks
 from ledgerlens.llm.names import variant_groups, variant_pairs
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.residue import find_residue
+from ledgerlens.llm.similar import similar_pairs, similar_vectors
 from ledgerlens.llm.split import split_oversized
 from ledgerlens.runtime import ship
 from ledgerlens.sources.tables import table
@@ -84,3 +85,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p3_found")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return variant_pairs(variant_groups(table(spark, folder, "entity")))
+
+
+#: The vectors of evidence_node that are searched: name, column and dimension.
+VECTOR_FIELDS = {"text": ("text_embedding", 384), "clip": ("clip_embedding", 512)}
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs(similar_vectors(table(spark, folder, "evidence_node"), VECTOR_FIELDS, k=5, least=0.7))
