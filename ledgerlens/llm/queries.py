@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.components import connected_groups
 from ledgerlens.llm.leakage import find_leaks
 from ledgerlens.llm.names import variant_groups, variant_pairs
+from ledgerlens.llm.ocr import build_lexicon, find_noise, repair_pages
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.residue import find_residue
 from ledgerlens.llm.similar import similar_pairs, similar_vectors
@@ -94,3 +95,14 @@ VECTOR_FIELDS = {"text": ("text_embedding", 384), "clip": ("clip_embedding", 512
 @query("p2_found")
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(similar_vectors(table(spark, folder, "evidence_node"), VECTOR_FIELDS, k=5, least=0.7))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = table(spark, folder, "evidence_node")
+    return find_noise(nodes.filter("node_type = 'page'"), lexicon=build_lexicon(nodes)).withColumnRenamed("id", "node_id")
+
+
+@query("p7_paragraphs")
+def p7_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_pages(table(spark, folder, "evidence_node").filter("node_type = 'page'")).withColumnRenamed("id", "node_id")
