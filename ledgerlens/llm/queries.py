@@ -12,6 +12,7 @@ from ledgerlens.llm.leakage import find_leaks
 from ledgerlens.llm.names import variant_groups, variant_pairs
 from ledgerlens.llm.ocr import build_lexicon, find_noise, repair_pages
 from ledgerlens.llm.packing import pack
+from ledgerlens.llm.pii import find_pii, redact
 from ledgerlens.llm.residue import find_residue
 from ledgerlens.llm.similar import similar_pairs, similar_vectors
 from ledgerlens.llm.split import split_oversized
@@ -106,3 +107,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p7_paragraphs")
 def p7_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return repair_pages(table(spark, folder, "evidence_node").filter("node_type = 'page'")).withColumnRenamed("id", "node_id")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_pii(table(spark, folder, "evidence_node"))
+    return found.select(F.col("id").alias("node_id"), "pii_type", "pii_text").distinct()
+
+
+@query("p4_redacted")
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redact(table(spark, folder, "evidence_node")).withColumnRenamed("id", "node_id")
