@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ledgerlens.functions.text import fuse, intent, keywords, normalize_name, seconds_in, snippet, subject
+from ledgerlens.operators.graph import components
 from ledgerlens.operators.intervals import periods_and_gaps
+from ledgerlens.operators.merge import cascade, keep_latest
+from ledgerlens.operators.temporal import asof_forward, band_join, fixed_windows, moments, overlap_join, windows_covered
+from ledgerlens.plans.search import keyword_hits, over_fetch
 from ledgerlens.runtime import ship
+from ledgerlens.sources.media import media_type_of_mime, media_type_of_name
 from ledgerlens.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +61,429 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 )
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return periods_and_gaps(table(spark, folder, "evidence_node"))
+
+
+# --- reports -------------------------------------------------------------------------------------------------------
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """source_file with each id once: the earliest registration."""
+    return keep_latest(table(spark, folder, "source_file"), ["id"], [F.col("registered_at")])
+
+
+def nodes(spark: SparkSession, folder: str, *cols: str) -> DataFrame:
+    """Columns of evidence_node, each id once: repeats carry the same content."""
+    return table(spark, folder, "evidence_node").select("id", *cols).distinct()
+
+
+F_SQL = "f AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY registered_at) AS rn FROM source_file) WHERE rn = 1)"
+
+
+def n_sql(*cols: str) -> str:
+    return f"n AS (SELECT DISTINCT id, {', '.join(cols)} FROM evidence_node)"
+
+
+@query(
+    "node_coverage_by_type",
+    f"""WITH {F_SQL}, n AS (SELECT id, any_value(source_file_id) AS source_file_id, any_value(node_type) AS node_type, count(text_content) > 0 AS has_text, count(text_embedding) > 0 AS t, count(clip_embedding) > 0 AS c, count(audio_embedding) > 0 AS a, count(enriched_at) > 0 AS e, count(enrichment_error) > 0 AS x FROM evidence_node GROUP BY id)
+    SELECT f.case_id, n.node_type, count(*) AS nodes, sum(has_text::INT)::BIGINT AS with_text, sum(t::INT)::BIGINT AS with_text_vector, sum(c::INT)::BIGINT AS with_visual_vector, sum(a::INT)::BIGINT AS with_audio_vector, sum(e::INT)::BIGINT AS enriched, sum(x::INT)::BIGINT AS failed, sum((NOT e)::INT)::BIGINT AS pending
+    FROM n JOIN f ON f.id = n.source_file_id GROUP BY f.case_id, n.node_type""",
+)
+def node_coverage_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    flags = {"with_text": "text_content", "with_text_vector": "text_embedding", "with_visual_vector": "clip_embedding", "with_audio_vector": "audio_embedding", "enriched": "enriched_at", "failed": "enrichment_error"}
+    # Only whether a vector is there leaves the scan, never the vector.
+    seen = table(spark, folder, "evidence_node").select("id", "source_file_id", "node_type", *[F.col(c).isNotNull().cast("long").alias(k) for k, c in flags.items()])
+    once = seen.groupBy("id").agg(F.min("source_file_id").alias("source_file_id"), F.min("node_type").alias("node_type"), *[F.max(k).alias(k) for k in flags])
+    joined = once.join(files(spark, folder).select(F.col("id").alias("source_file_id"), "case_id"), "source_file_id")
+    return joined.groupBy("case_id", "node_type").agg(F.count(F.lit(1)).alias("nodes"), *[F.sum(k).alias(k) for k in flags], F.sum(1 - F.col("enriched")).alias("pending"))
+
+
+@query(
+    "collection_counts",
+    f"""WITH {F_SQL}, n AS (SELECT id, any_value(source_file_id) AS source_file_id, max(enriched_at) AS enriched_at FROM evidence_node GROUP BY id)
+    SELECT c.id AS case_id, c.case_number, count(DISTINCT f.id) AS files, count(n.id) AS nodes, count(n.enriched_at) AS enriched FROM evidence_case c LEFT JOIN f ON f.case_id = c.id LEFT JOIN n ON n.source_file_id = f.id GROUP BY c.id, c.case_number""",
+)
+def collection_counts(spark: SparkSession, folder: str) -> DataFrame:
+    # Nodes are counted by file before the join, so the fan-out never leaves the aggregation.
+    once = table(spark, folder, "evidence_node").groupBy("id").agg(F.min("source_file_id").alias("file_id"), F.max("enriched_at").alias("enriched_at"))
+    by_file = once.groupBy("file_id").agg(F.count(F.lit(1)).alias("nodes"), F.count("enriched_at").alias("enriched"))
+    by_case = files(spark, folder).select(F.col("id").alias("file_id"), "case_id").join(by_file, "file_id", "left").groupBy("case_id").agg(F.count(F.lit(1)).alias("files"), F.sum("nodes").alias("nodes"), F.sum("enriched").alias("enriched"))
+    cases = table(spark, folder, "evidence_case").select(F.col("id").alias("case_id"), "case_number")
+    return cases.join(by_case, "case_id", "left").select("case_id", "case_number", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "nodes", "enriched")])
+
+
+@query(
+    "file_counts",
+    f"""WITH {F_SQL}, n AS (SELECT DISTINCT id, source_file_id, node_type FROM evidence_node)
+    SELECT f.id AS source_file_id, f.file_name, f.file_type, count(n.id) AS nodes, count(DISTINCT n.node_type) AS node_types FROM f LEFT JOIN n ON n.source_file_id = f.id GROUP BY ALL""",
+)
+def file_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = nodes(spark, folder, "source_file_id", "node_type").groupBy("source_file_id").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("node_type").alias("node_types"))
+    own = files(spark, folder).select(F.col("id").alias("source_file_id"), "file_name", "file_type")
+    return own.join(counts, "source_file_id", "left").na.fill(0, ["nodes", "node_types"])
+
+
+@query(
+    "global_stats",
+    """SELECT (SELECT count(*) FROM evidence_case) AS cases, (SELECT count(DISTINCT id) FROM source_file) AS files, (SELECT count(DISTINCT id) FROM evidence_node) AS nodes, (SELECT count(DISTINCT id) FROM entity) AS entities, (SELECT count(DISTINCT id) FROM mention) AS mentions, (SELECT count(DISTINCT id) FROM source_alignment) AS alignments""",
+)
+def global_stats(spark: SparkSession, folder: str) -> DataFrame:
+    names = {"cases": "evidence_case", "files": "source_file", "nodes": "evidence_node", "entities": "entity", "mentions": "mention", "alignments": "source_alignment"}
+    rows = [table(spark, folder, t).agg(F.countDistinct("id").alias(k)) for k, t in names.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.crossJoin(F.broadcast(r))  # frames of one row
+    return out
+
+
+@query("alignment_summary", "SELECT case_id, upper(trim(alignment_type)) AS alignment_type, count(DISTINCT id) AS alignments, round(sum(score), 3) AS total_score FROM (SELECT DISTINCT id, case_id, alignment_type, score FROM source_alignment) GROUP BY 1, 2")
+def alignment_summary(spark: SparkSession, folder: str) -> DataFrame:
+    once = table(spark, folder, "source_alignment").select("id", "case_id", F.upper(F.trim("alignment_type")).alias("alignment_type"), "score").distinct()
+    return once.groupBy("case_id", "alignment_type").agg(F.countDistinct("id").alias("alignments"), F.round(F.sum("score"), 3).alias("total_score"))
+
+
+@query(
+    "earliest_node_per_source",
+    f"WITH {n_sql('source_file_id', 'node_type', 'start_time')} SELECT source_file_id, id AS node_id, node_type, start_time FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id ORDER BY start_time ASC NULLS LAST, id) AS rn FROM n) WHERE rn = 1",
+)
+def earliest_node_per_source(spark: SparkSession, folder: str) -> DataFrame:
+    first = keep_latest(nodes(spark, folder, "source_file_id", "node_type", "start_time"), ["source_file_id"], [F.col("start_time").asc_nulls_last(), F.col("id")])
+    return first.select("source_file_id", F.col("id").alias("node_id"), "node_type", "start_time")
+
+
+@query(
+    "source_upsert_keep_latest",
+    "SELECT case_id, sha256, file_name, registered_at FROM (SELECT *, row_number() OVER (PARTITION BY case_id, sha256 ORDER BY registered_at DESC, id) AS rn FROM source_file) WHERE rn = 1",
+)
+def source_upsert_keep_latest(spark: SparkSession, folder: str) -> DataFrame:
+    return keep_latest(table(spark, folder, "source_file"), ["case_id", "sha256"], [F.desc("registered_at"), F.col("id")]).select("case_id", "sha256", "file_name", "registered_at")
+
+
+@query(
+    "tamper_check",
+    "SELECT case_id, file_path, sha256, previous_hash, coalesce(previous_hash <> sha256, false) AS changed FROM (SELECT *, lag(sha256) OVER (PARTITION BY case_id, file_path ORDER BY registered_at, id) AS previous_hash FROM source_file)",
+)
+def tamper_check(spark: SparkSession, folder: str) -> DataFrame:
+    w = Window.partitionBy("case_id", "file_path").orderBy("registered_at", "id")
+    return table(spark, folder, "source_file").withColumn("previous_hash", F.lag("sha256").over(w)).select("case_id", "file_path", "sha256", "previous_hash", F.coalesce(F.col("previous_hash") != F.col("sha256"), F.lit(False)).alias("changed"))
+
+
+@query("pending_text_nodes", "SELECT DISTINCT id AS node_id, source_file_id FROM evidence_node n WHERE text_content <> '' AND NOT EXISTS (SELECT 1 FROM mention m WHERE m.evidence_node_id = n.id)")
+def pending_text_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    seen = table(spark, folder, "mention").select(F.col("evidence_node_id").alias("id"))
+    return table(spark, folder, "evidence_node").filter("text_content <> ''").select("id", "source_file_id").distinct().join(seen, "id", "left_anti").withColumnRenamed("id", "node_id")
+
+
+@query(
+    "sources_with_both",
+    "SELECT DISTINCT id AS source_file_id FROM source_file f WHERE EXISTS (SELECT 1 FROM evidence_node n WHERE n.source_file_id = f.id AND n.text_embedding IS NOT NULL) AND EXISTS (SELECT 1 FROM evidence_node n WHERE n.source_file_id = f.id AND n.clip_embedding IS NOT NULL)",
+)
+def sources_with_both(spark: SparkSession, folder: str) -> DataFrame:
+    out = table(spark, folder, "source_file").select(F.col("id").alias("source_file_id")).distinct()
+    for c in ("text_embedding", "clip_embedding"):
+        out = out.join(table(spark, folder, "evidence_node").filter(F.col(c).isNotNull()).select("source_file_id"), "source_file_id", "left_semi")
+    return out
+
+
+@query(
+    "type_resolution",
+    """SELECT DISTINCT id AS source_file_id, coalesce(sniffed, declared_type, ext) AS media_type, coalesce(sniffed <> coalesce(declared_type, ext), false) AS mismatch FROM (
+      SELECT *, CASE WHEN detected_mime IN ('application/pdf') THEN 'pdf' WHEN detected_mime = 'application/octet-stream' OR detected_mime LIKE 'video/%' THEN 'video' WHEN detected_mime LIKE 'audio/%' THEN 'audio' WHEN detected_mime LIKE 'image/%' THEN 'image' WHEN detected_mime LIKE 'text/%' THEN 'doc' END AS sniffed,
+        CASE WHEN e IN ('mp4','mov','avi','mkv','webm','m4v') THEN 'video' WHEN e IN ('wav','mp3','m4a','flac','aac','ogg') THEN 'audio' WHEN e IN ('jpg','jpeg','png','bmp','tiff','tif','webp','heic') THEN 'image' WHEN e = 'pdf' THEN 'pdf' WHEN e IN ('doc','docx','rtf','odt','txt') THEN 'doc' END AS ext
+      FROM (SELECT *, lower(regexp_extract(file_name, '[.]([A-Za-z0-9]+)$', 1)) AS e FROM source_file))""",
+)
+def type_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    sniffed, ext = media_type_of_mime(F.col("detected_mime")), media_type_of_name(F.col("file_name"))
+    rows = table(spark, folder, "source_file").withColumn("sniffed", sniffed).withColumn("ext", ext)
+    return rows.select(F.col("id").alias("source_file_id"), F.coalesce("sniffed", "declared_type", "ext").alias("media_type"), F.coalesce(F.col("sniffed") != F.coalesce("declared_type", "ext"), F.lit(False)).alias("mismatch")).distinct()
+
+
+@query(
+    "file_status",
+    f"""WITH {F_SQL}, n AS (SELECT id, any_value(source_file_id) AS s, max(enriched_at) AS e FROM evidence_node GROUP BY id), k AS (SELECT s, count(*) AS total, count(e) AS done FROM n GROUP BY s)
+    SELECT f.id AS source_file_id, CASE WHEN coalesce(total, 0) = 0 THEN 'not extracted' WHEN done = 0 THEN 'not analysed' WHEN done < total THEN CAST(done AS VARCHAR) || '/' || CAST(total AS VARCHAR) ELSE 'searchable' END AS status FROM f LEFT JOIN k ON k.s = f.id""",
+)
+def file_status(spark: SparkSession, folder: str) -> DataFrame:
+    once = table(spark, folder, "evidence_node").groupBy("id").agg(F.min("source_file_id").alias("source_file_id"), F.max("enriched_at").alias("e"))
+    counts = once.groupBy("source_file_id").agg(F.count(F.lit(1)).alias("total"), F.count("e").alias("done"))
+    both = files(spark, folder).select(F.col("id").alias("source_file_id")).join(counts, "source_file_id", "left")
+    status = F.when(F.coalesce("total", F.lit(0)) == 0, "not extracted").when(F.col("done") == 0, "not analysed").when(F.col("done") < F.col("total"), F.concat_ws("/", "done", "total")).otherwise("searchable")
+    return both.select("source_file_id", status.alias("status"))
+
+
+@query(
+    "cascade_delete",
+    """WITH gone AS (SELECT min(id) AS id FROM evidence_case), gf AS (SELECT DISTINCT id FROM source_file WHERE case_id IN (SELECT id FROM gone)), gn AS (SELECT DISTINCT id FROM evidence_node WHERE source_file_id IN (SELECT id FROM gf)), ge AS (SELECT DISTINCT id FROM entity WHERE case_id IN (SELECT id FROM gone))
+    SELECT 'evidence_case' AS table_name, count(*) AS rows_left FROM evidence_case WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'source_file', count(*) FROM source_file WHERE id NOT IN (SELECT id FROM gf) UNION ALL SELECT 'evidence_node', count(*) FROM evidence_node WHERE id NOT IN (SELECT id FROM gn) UNION ALL SELECT 'entity', count(*) FROM entity WHERE id NOT IN (SELECT id FROM ge)
+    UNION ALL SELECT 'mention', count(*) FROM mention WHERE id NOT IN (SELECT id FROM mention WHERE entity_id IN (SELECT id FROM ge) OR evidence_node_id IN (SELECT id FROM gn))""",
+)
+def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
+    keys = {"evidence_case": ["id"], "source_file": ["id", "case_id"], "evidence_node": ["id", "source_file_id"], "entity": ["id", "case_id"], "mention": ["id", "entity_id", "evidence_node_id"]}
+    tables = {t: table(spark, folder, t).select(*c) for t, c in keys.items()}
+    links = [("source_file", "case_id", "evidence_case"), ("evidence_node", "source_file_id", "source_file"), ("entity", "case_id", "evidence_case"), ("mention", "entity_id", "entity"), ("mention", "evidence_node_id", "evidence_node")]
+    left = cascade(tables, {"evidence_case": tables["evidence_case"].agg(F.min("id").alias("id"))}, links)
+    out = None
+    for name, df in left.items():
+        row = df.agg(F.count(F.lit(1)).alias("rows_left")).select(F.lit(name).alias("table_name"), "rows_left")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# --- text ----------------------------------------------------------------------------------------------------------
+
+SEARCH_TERMS = ["cracked", "phone", "turnstile"]
+
+
+@query(
+    "keyword_search",
+    """WITH n AS (SELECT DISTINCT id, text_content FROM evidence_node), h AS (SELECT id, text_content, (contains(lower(text_content), 'cracked'))::INT + (contains(lower(text_content), 'phone'))::INT + (contains(lower(text_content), 'turnstile'))::INT AS matches FROM n)
+    SELECT id AS node_id, matches, matches / 3.0::DOUBLE AS score FROM h WHERE matches > 0 ORDER BY matches DESC, length(text_content), id LIMIT 60""",
+)
+def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
+    return keyword_hits(nodes(spark, folder, "text_content"), "id", "text_content", SEARCH_TERMS, over_fetch(20)).withColumnRenamed("id", "node_id")
+
+
+@query(
+    "snippets",
+    r"""WITH s AS (SELECT DISTINCT id, trim(regexp_replace(text_content, '[ \t\n\r\f\v]+', ' ', 'g')) AS s FROM evidence_node WHERE text_content IS NOT NULL)
+    SELECT id AS node_id, CASE WHEN length(s) <= 240 THEN s ELSE rtrim(substring(s, 1, 239)) || '…' END AS snippet FROM s""",
+)
+def snippets(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "evidence_node").filter("text_content is not null")
+    return rows.select(F.col("id").alias("node_id"), snippet(F.col("text_content")).alias("snippet")).distinct()
+
+
+@query(
+    "normalize_dedup_entities",
+    r"""WITH e AS (SELECT DISTINCT id, case_id, entity_type, canonical_name, min(created_at) OVER (PARTITION BY id) AS made FROM entity), k AS (SELECT *, lower(trim(regexp_replace(canonical_name, '[ \t\n\r\f\v]+', ' ', 'g'))) AS name_key FROM e)
+    SELECT case_id, entity_type, name_key, count(*) AS rows_merged, arg_min(canonical_name, (made, id)) AS first_spelling FROM k GROUP BY 1, 2, 3""",
+)
+def normalize_dedup_entities(spark: SparkSession, folder: str) -> DataFrame:
+    once = table(spark, folder, "entity").groupBy("id", "case_id", "entity_type", "canonical_name").agg(F.min("created_at").alias("made"))
+    keyed = once.withColumn("name_key", normalize_name(F.col("canonical_name")))
+    return keyed.groupBy("case_id", "entity_type", "name_key").agg(F.count(F.lit(1)).alias("rows_merged"), F.min_by("canonical_name", F.struct("made", "id")).alias("first_spelling"))
+
+
+@query(
+    "question_intents",
+    r"""SELECT item_id, CASE WHEN regexp_matches(question, '(?i)\b(contradict|disagree|conflict|corroborat|dispute)') THEN 'contradiction' WHEN regexp_matches(question, '(?i)\b(who (was|is|were)?\s*(present|there|with|near)|who else|co-?occur)') THEN 'co_occurrence' WHEN regexp_matches(question, '(?i)\b(who is|who''?s|identity of|which person)\b') THEN 'identity'
+      WHEN regexp_matches(question, '(?i)\b(when did|what happened|timeline|before|after|around|during)\b|\b[0-9]{1,2}:[0-9]{2}\b') THEN 'timeline' ELSE 'entity' END AS intent FROM eval_item""",
+)
+def question_intents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "eval_item").select("item_id", intent(F.col("question")).alias("intent"))
+
+
+@query("question_keywords")
+def question_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    q = F.col("question")
+    return table(spark, folder, "eval_item").select("item_id", keywords(q).alias("terms"), subject(q).alias("subject"), seconds_in(q).alias("seconds"))
+
+
+@query(
+    "fused_node_text",
+    f"WITH {n_sql('node_type', 'text_content', 'file_path')} SELECT id AS node_id, nullif(concat_ws(chr(10) || chr(10), CASE WHEN trim(text_content) <> '' THEN 'text: ' || trim(text_content) END, CASE WHEN trim(file_path) <> '' THEN 'file: ' || trim(file_path) END), '') AS fused FROM n",
+)
+def fused_node_text(spark: SparkSession, folder: str) -> DataFrame:
+    return nodes(spark, folder, "node_type", "text_content", "file_path").select(F.col("id").alias("node_id"), fuse(text=F.col("text_content"), file=F.col("file_path")).alias("fused"))
+
+
+# --- entities and the graph ----------------------------------------------------------------------------------------
+
+M_SQL = "m AS (SELECT DISTINCT entity_id, evidence_node_id AS node_id FROM mention WHERE entity_id IS NOT NULL AND evidence_node_id IS NOT NULL)"
+
+
+def mentions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "mention").select("entity_id", F.col("evidence_node_id").alias("node_id"))
+    return rows.filter("entity_id is not null and node_id is not null").distinct()
+
+
+@query("entity_groups", f"WITH {M_SQL} SELECT entity_id, count(*) AS nodes, string_agg(node_id, ',' ORDER BY node_id) AS node_ids FROM m GROUP BY entity_id HAVING count(*) >= 2")
+def entity_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return mentions(spark, folder).groupBy("entity_id").agg(F.count(F.lit(1)).alias("nodes"), F.array_join(F.sort_array(F.collect_list("node_id")), ",").alias("node_ids")).filter("nodes >= 2")
+
+
+@query("entity_time_bounds", f"WITH {M_SQL}, {n_sql('start_time', 'end_time')} SELECT entity_id, min(start_time) AS first_seen, max(end_time) AS last_seen FROM m JOIN n ON n.id = m.node_id GROUP BY entity_id")
+def entity_time_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return mentions(spark, folder).join(nodes(spark, folder, "start_time", "end_time").withColumnRenamed("id", "node_id"), "node_id").groupBy("entity_id").agg(F.min("start_time").alias("first_seen"), F.max("end_time").alias("last_seen"))
+
+
+@query("cooccurrence_pairs", f"WITH {M_SQL} SELECT a.entity_id AS entity_a, b.entity_id AS entity_b, count(*) AS weight, min(a.node_id) AS sample_node FROM m a JOIN m b ON a.node_id = b.node_id AND b.entity_id > a.entity_id GROUP BY 1, 2")
+def cooccurrence_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    m = mentions(spark, folder)
+    a, b = m.withColumnRenamed("entity_id", "entity_a"), m.withColumnRenamed("entity_id", "entity_b")
+    return a.join(b, "node_id").filter("entity_b > entity_a").groupBy("entity_a", "entity_b").agg(F.count(F.lit(1)).alias("weight"), F.min("node_id").alias("sample_node"))
+
+
+A_SQL = "e AS (SELECT DISTINCT least(node_a_id, node_b_id) AS a, greatest(node_a_id, node_b_id) AS b, upper(trim(alignment_type)) AS kind FROM source_alignment WHERE node_a_id <> node_b_id)"
+
+
+def alignments(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct alignments (a, b, kind) in canonical order, without loops."""
+    rows = table(spark, folder, "source_alignment").filter("node_a_id <> node_b_id")
+    return rows.select(F.least("node_a_id", "node_b_id").alias("a"), F.greatest("node_a_id", "node_b_id").alias("b"), F.upper(F.trim("alignment_type")).alias("kind")).distinct()
+
+
+@query("node_edges", f"WITH {A_SQL}, {M_SQL} SELECT a AS node_id, b AS other, kind FROM e UNION ALL SELECT b, a, kind FROM e UNION ALL SELECT node_id, entity_id, 'MENTIONS' FROM m")
+def node_edges(spark: SparkSession, folder: str) -> DataFrame:
+    e = alignments(spark, folder)
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("node_id"), F.col("a").alias("other"))))
+    both = e.select(ends.alias("x"), "kind").select("x.node_id", "x.other", "kind")
+    return both.unionByName(mentions(spark, folder).select("node_id", F.col("entity_id").alias("other"), F.lit("MENTIONS").alias("kind")))
+
+
+@query(
+    "evidence_pack",
+    f"""WITH {A_SQL}, {n_sql('source_file_id', 'node_type', 'start_time', 'end_time')}, w AS (SELECT * FROM n WHERE end_time >= 60 AND start_time <= 600), ends AS (SELECT a AS id, kind FROM e UNION ALL SELECT b, kind FROM e)
+    SELECT w.id AS node_id, w.node_type, w.start_time, w.end_time, count(ends.kind) AS relations FROM w LEFT JOIN ends ON ends.id = w.id GROUP BY ALL""",
+)
+def evidence_pack(spark: SparkSession, folder: str) -> DataFrame:
+    window = nodes(spark, folder, "source_file_id", "node_type", "start_time", "end_time").filter("end_time >= 60 and start_time <= 600")
+    ends = alignments(spark, folder).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("relations"))
+    return window.join(ends, "id", "left").select(F.col("id").alias("node_id"), "node_type", "start_time", "end_time", F.coalesce("relations", F.lit(0)).alias("relations"))
+
+
+@query(
+    "candidate_pairs",
+    f"""WITH {A_SQL}, {M_SQL}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY node_id) AS rn FROM m) WHERE rn <= 25),
+    u AS (SELECT x.node_id AS a, y.node_id AS b, 'entity' AS origin FROM c x JOIN c y ON x.entity_id = y.entity_id AND x.node_id < y.node_id UNION ALL SELECT a, b, lower(kind) FROM e WHERE kind IN ('REFERENCES', 'ALIGNS_WITH'))
+    SELECT a AS node_a, b AS node_b, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins FROM u GROUP BY a, b""",
+)
+def candidate_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    # The cap of nodes for each entity is the operator's own rule.
+    w = Window.partitionBy("entity_id").orderBy("node_id")
+    capped = mentions(spark, folder).withColumn("rn", F.row_number().over(w)).filter("rn <= 25").drop("rn")
+    pairs = capped.withColumnRenamed("node_id", "a").join(capped.withColumnRenamed("node_id", "b"), "entity_id").filter("a < b").select("a", "b", F.lit("entity").alias("origin"))
+    linked = alignments(spark, folder).filter(F.col("kind").isin("REFERENCES", "ALIGNS_WITH")).select("a", "b", F.lower("kind").alias("origin"))
+    return pairs.unionByName(linked).groupBy(F.col("a").alias("node_a"), F.col("b").alias("node_b")).agg(F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origins"))
+
+
+@query(
+    "event_components",
+    f"""WITH RECURSIVE {M_SQL}, {F_SQL}, n AS (SELECT DISTINCT v.id, v.start_time, f.case_id FROM evidence_node v JOIN f ON f.id = v.source_file_id WHERE v.start_time IS NOT NULL),
+    e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM m p JOIN m q ON p.entity_id = q.entity_id AND p.node_id < q.node_id JOIN n x ON x.id = p.node_id JOIN n y ON y.id = q.node_id WHERE x.case_id = y.case_id AND abs(x.start_time - y.start_time) <= 30),
+    l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node_id, a AS other FROM l UNION SELECT r.node_id, l.b FROM r JOIN l ON l.a = r.other)
+    SELECT node_id, min(other) AS event_id FROM r GROUP BY node_id""",
+)
+def event_components(spark: SparkSession, folder: str) -> DataFrame:
+    own = files(spark, folder).select(F.col("id").alias("source_file_id"), "case_id")
+    timed = nodes(spark, folder, "source_file_id", "start_time").filter("start_time is not null").join(own, "source_file_id").withColumnRenamed("id", "node_id")
+    seen = mentions(spark, folder).join(timed, "node_id").select("entity_id", "case_id", "node_id", "start_time")
+    near = band_join(seen.withColumn("key", F.concat_ws("|", "case_id", "entity_id")).select("key", "node_id", "start_time"), "key", "start_time", 30.0, "node_id")
+    return components(near.select(F.col("node_id").alias("a"), F.col("b_node_id").alias("b")).distinct(), "a", "b").select(F.col("node").alias("node_id"), F.col("component").alias("event_id"))
+
+
+# --- time ----------------------------------------------------------------------------------------------------------
+
+T_SQL = "n AS (SELECT DISTINCT id, source_file_id, node_type, start_time, end_time FROM evidence_node WHERE end_time >= start_time)"
+
+
+def timed(spark: SparkSession, folder: str) -> DataFrame:
+    return nodes(spark, folder, "source_file_id", "node_type", "start_time", "end_time").filter("end_time >= start_time")
+
+
+@query(
+    "aligns_with",
+    f"WITH {T_SQL} SELECT a.id AS node_a, b.id AS node_b, round(least(a.end_time, b.end_time) - greatest(a.start_time, b.start_time), 6) AS overlap_sec FROM n a JOIN n b ON a.source_file_id = b.source_file_id AND a.id < b.id AND a.node_type <> b.node_type WHERE least(a.end_time, b.end_time) - greatest(a.start_time, b.start_time) >= 0",
+)
+def aligns_with(spark: SparkSession, folder: str) -> DataFrame:
+    n = timed(spark, folder)
+    pairs = overlap_join(n, n, "source_file_id", "start_time", "end_time", touching=True).filter("id < b_id and node_type <> b_node_type")
+    return pairs.select(F.col("id").alias("node_a"), F.col("b_id").alias("node_b"), F.round("overlap_sec", 6).alias("overlap_sec"))
+
+
+@query(
+    "overlapping_nodes",
+    f"WITH {T_SQL} SELECT a.id AS node_a, b.id AS node_b, round(least(a.end_time, b.end_time) - greatest(a.start_time, b.start_time), 6) AS overlap_sec FROM n a JOIN n b ON a.source_file_id = b.source_file_id AND a.id < b.id WHERE a.start_time < b.end_time AND a.end_time > b.start_time AND least(a.end_time, b.end_time) - greatest(a.start_time, b.start_time) > 0",
+)
+def overlapping_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    n = timed(spark, folder)
+    return overlap_join(n, n, "source_file_id", "start_time", "end_time").filter("id < b_id").select(F.col("id").alias("node_a"), F.col("b_id").alias("node_b"), F.round("overlap_sec", 6).alias("overlap_sec"))
+
+
+@query("band_join_pairs", f"WITH {T_SQL} SELECT a.id AS node_a, b.id AS node_b, round(abs(a.start_time - b.start_time), 6) AS apart FROM n a JOIN n b ON a.source_file_id = b.source_file_id AND a.id < b.id AND abs(a.start_time - b.start_time) <= 5")
+def band_join_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    near = band_join(timed(spark, folder).select("source_file_id", "id", "start_time"), "source_file_id", "start_time", 5.0, "id")
+    return near.select(F.col("id").alias("node_a"), F.col("b_id").alias("node_b"), F.round(F.abs(F.col("start_time") - F.col("b_start_time")), 6).alias("apart"))
+
+
+@query(
+    "asof_forward",
+    f"""WITH {T_SQL}, d AS (SELECT source_file_id, max(end_time) AS until FROM n GROUP BY 1), t AS (SELECT source_file_id, unnest(range(0, CAST(floor(until / 60) AS BIGINT) + 1)) * 60.0::DOUBLE AS start_time FROM d),
+    j AS (SELECT t.source_file_id, t.start_time, n.start_time AS found_at, n.id AS found, row_number() OVER (PARTITION BY t.source_file_id, t.start_time ORDER BY n.start_time, n.id) AS rn FROM t JOIN n ON n.source_file_id = t.source_file_id AND n.start_time >= t.start_time)
+    SELECT source_file_id, start_time, found_at, found FROM j WHERE rn = 1""",
+)
+def asof_forward_query(spark: SparkSession, folder: str) -> DataFrame:
+    n = timed(spark, folder)
+    until = n.groupBy("source_file_id").agg(F.floor(F.max("end_time") / 60).alias("last"))
+    targets = until.select("source_file_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("k")).select("source_file_id", (F.col("k") * 60.0).alias("start_time"))
+    return asof_forward(targets, n.select("source_file_id", "start_time", "id"), "source_file_id", "start_time", "id")
+
+
+@query(
+    "fixed_windows",
+    f"""WITH {F_SQL}, w AS (SELECT id AS source_file_id, duration_sec, unnest(range(0, CASE WHEN duration_sec > 0 THEN CAST(ceil(duration_sec / 30) AS BIGINT) ELSE 1 END)) AS window_no FROM f WHERE duration_sec IS NOT NULL)
+    SELECT source_file_id, window_no::INT AS window_no, window_no * 30.0::DOUBLE AS start_time, CASE WHEN duration_sec > 0 THEN least(window_no * 30.0::DOUBLE + 30, duration_sec) ELSE window_no * 30.0::DOUBLE + 30 END AS end_time FROM w""",
+)
+def fixed_windows_query(spark: SparkSession, folder: str) -> DataFrame:
+    own = files(spark, folder).filter("duration_sec is not null").select(F.col("id").alias("source_file_id"), "duration_sec")
+    return fixed_windows(own, "source_file_id", "duration_sec", 30.0)
+
+
+@query(
+    "presence_jaccard",
+    f"""WITH {T_SQL}, c AS (SELECT DISTINCT source_file_id, node_type, unnest(range(CAST(floor(start_time / 10) AS BIGINT), CAST(floor((end_time - 1e-9) / 10) AS BIGINT) + 1)) AS w FROM n WHERE end_time > start_time), s AS (SELECT source_file_id, node_type, count(*) AS k FROM c GROUP BY 1, 2)
+    SELECT a.source_file_id, a.node_type AS type_a, b.node_type AS type_b, count(*) AS shared, round(count(*) / (any_value(x.k) + any_value(y.k) - count(*))::DOUBLE, 6) AS jaccard FROM c a JOIN c b ON a.source_file_id = b.source_file_id AND a.w = b.w AND a.node_type < b.node_type JOIN s x ON x.source_file_id = a.source_file_id AND x.node_type = a.node_type JOIN s y ON y.source_file_id = b.source_file_id AND y.node_type = b.node_type GROUP BY 1, 2, 3""",
+)
+def presence_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    c = windows_covered(timed(spark, folder), ["source_file_id", "node_type"], "start_time", "end_time", 10.0)
+    size = c.groupBy("source_file_id", "node_type").agg(F.count(F.lit(1)).alias("k"))
+    a, b = c.withColumnRenamed("node_type", "type_a"), c.withColumnRenamed("node_type", "type_b")
+    shared = a.join(b, ["source_file_id", "window_no"]).filter("type_a < type_b").groupBy("source_file_id", "type_a", "type_b").agg(F.count(F.lit(1)).alias("shared"))
+    for side in ("a", "b"):
+        shared = shared.join(size.select("source_file_id", F.col("node_type").alias(f"type_{side}"), F.col("k").alias(f"k_{side}")), ["source_file_id", f"type_{side}"])
+    return shared.select("source_file_id", "type_a", "type_b", "shared", F.round(F.col("shared") / (F.col("k_a") + F.col("k_b") - F.col("shared")), 6).alias("jaccard"))
+
+
+@query(
+    "unified_timeline",
+    f"WITH {F_SQL}, {n_sql('source_file_id', 'node_type', 'start_time', 'case_time')} SELECT n.id AS node_id, f.file_name, n.node_type, coalesce(n.case_time, n.start_time) AS display_time FROM n JOIN f ON f.id = n.source_file_id WHERE coalesce(n.case_time, n.start_time) IS NOT NULL ORDER BY display_time, f.file_name, n.id LIMIT 500",
+)
+def unified_timeline(spark: SparkSession, folder: str) -> DataFrame:
+    own = files(spark, folder).select(F.col("id").alias("source_file_id"), "file_name")
+    shown = nodes(spark, folder, "source_file_id", "node_type", "start_time", "case_time").join(own, "source_file_id").withColumn("display_time", F.coalesce("case_time", "start_time"))
+    return shown.filter("display_time is not null").select(F.col("id").alias("node_id"), "file_name", "node_type", "display_time").orderBy("display_time", "file_name", "node_id").limit(500)
+
+
+@query(
+    "offset_estimates",
+    f"""WITH {A_SQL}, {n_sql('source_file_id', 'start_time')}, p AS (SELECT x.source_file_id AS source_a, y.source_file_id AS source_b, y.start_time - x.start_time AS d FROM e JOIN n x ON x.id = e.a JOIN n y ON y.id = e.b WHERE e.kind = 'ALIGNS_WITH' AND x.source_file_id <> y.source_file_id AND x.start_time IS NOT NULL AND y.start_time IS NOT NULL),
+    q AS (SELECT *, median(d) OVER (PARTITION BY source_a, source_b) AS mid FROM p)
+    SELECT source_a, source_b, round(any_value(mid), 6) AS offset_seconds, count(*) AS anchors, round(avg(CASE WHEN abs(d - mid) <= 1 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS confidence FROM q GROUP BY 1, 2""",
+)
+def offset_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    n = nodes(spark, folder, "source_file_id", "start_time").filter("start_time is not null")
+    e = alignments(spark, folder).filter("kind = 'ALIGNS_WITH'")
+    for side in ("a", "b"):
+        e = e.join(n.select(F.col("id").alias(side), F.col("source_file_id").alias(f"source_{side}"), F.col("start_time").alias(f"t_{side}")), side)
+    apart = e.filter("source_a <> source_b").select("source_a", "source_b", (F.col("t_b") - F.col("t_a")).alias("d"))
+    middle = apart.groupBy("source_a", "source_b").agg(F.percentile("d", F.lit(0.5)).alias("mid"), F.count(F.lit(1)).alias("anchors"))
+    near = apart.join(middle, ["source_a", "source_b"]).groupBy("source_a", "source_b", "mid", "anchors").agg(F.avg((F.abs(F.col("d") - F.col("mid")) <= 1).cast("double")).alias("c"))
+    return near.select("source_a", "source_b", F.round("mid", 6).alias("offset_seconds"), "anchors", F.round("c", 6).alias("confidence"))
+
+
+@query(
+    "stitched_transcripts",
+    """WITH s AS (SELECT DISTINCT id, source_file_id, start_time, trim(text_content) AS t FROM evidence_node WHERE node_type = 'transcript_chunk' AND start_time IS NOT NULL AND trim(text_content) <> ''), k AS (SELECT *, row_number() OVER (PARTITION BY source_file_id, start_time ORDER BY id) AS rn FROM s)
+    SELECT source_file_id, count(*) AS segments, string_agg(t, ' ' ORDER BY start_time) AS transcript FROM k WHERE rn = 1 GROUP BY source_file_id""",
+)
+def stitched_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "evidence_node").filter("node_type = 'transcript_chunk' and start_time is not null and trim(text_content) <> ''")
+    once = keep_latest(rows.select("id", "source_file_id", "start_time", F.trim("text_content").alias("t")).distinct(), ["source_file_id", "start_time"], [F.col("id")])
+    parts = F.sort_array(F.collect_list(F.struct("start_time", "t")))
+    return once.groupBy("source_file_id").agg(F.count(F.lit(1)).alias("segments"), F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("transcript"))
+
+
+@query("moments")
+def moments_query(spark: SparkSession, folder: str) -> DataFrame:
+    return moments(timed(spark, folder), "source_file_id", "start_time")
+
