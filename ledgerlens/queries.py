@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import fuse, intent, keywords, normalize_name, seconds_in, snippet, subject
-from ledgerlens.operators.graph import components
+from ledgerlens.functions.vector import centroids, cosine
+from ledgerlens.operators.graph import average_linkage, components, greedy_matching
 from ledgerlens.operators.intervals import periods_and_gaps
 from ledgerlens.operators.merge import cascade, keep_latest
 from ledgerlens.operators.temporal import asof_forward, band_join, fixed_windows, moments, overlap_join, windows_covered
-from ledgerlens.plans.search import keyword_hits, over_fetch
+from ledgerlens.plans.search import floor_and_gate, hybrid, keyword_hits, over_fetch, vector_hits
 from ledgerlens.runtime import ship
 from ledgerlens.sources.media import media_type_of_mime, media_type_of_name
 from ledgerlens.sources.tables import table
+from ledgerlens.streaming.events import windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -487,3 +489,132 @@ def stitched_transcripts(spark: SparkSession, folder: str) -> DataFrame:
 def moments_query(spark: SparkSession, folder: str) -> DataFrame:
     return moments(timed(spark, folder), "source_file_id", "start_time")
 
+
+
+# --- vectors: on the table of 64-dimensional vectors, whose label stands for the case ---------------------------------
+
+SIMILAR, LINKED = 0.35, 0.40
+#: The query vector is that of the smallest id.
+Q_SQL = "q AS (SELECT embedding AS qe FROM embeddings ORDER BY vec_id LIMIT 1)"
+
+
+def cos_sql(a: str, b: str) -> str:
+    return f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
+
+
+def vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+
+
+def first_vector(spark: SparkSession, folder: str) -> list[float]:
+    return list(vectors(spark, folder).orderBy("vec_id").first().embedding)
+
+
+def similar_pairs_of_label(spark: SparkSession, folder: str, above: float) -> DataFrame:
+    v = vectors(spark, folder)
+    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
+    return a.join(b, "label").filter("a < b").select("label", "a", "b", cosine(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") > above)
+
+
+@query("similar_to_edges", f"SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({cos_sql('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {cos_sql('a.embedding', 'b.embedding')} > {SIMILAR}")
+def similar_to_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs_of_label(spark, folder, SIMILAR).withColumn("score", F.round("score", 6))
+
+
+@query("references_cross", f"SELECT a.vec_id AS page_id, b.vec_id AS segment_id, round({cos_sql('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON b.label = a.label + 5 WHERE a.label < 5 AND {cos_sql('a.embedding', 'b.embedding')} > {SIMILAR}")
+def references_cross(spark: SparkSession, folder: str) -> DataFrame:
+    v = vectors(spark, folder)
+    pages = v.filter("label < 5").select((F.col("label") + 5).alias("label"), F.col("vec_id").alias("page_id"), F.col("embedding").alias("va"))
+    segments = v.filter("label >= 5").select("label", F.col("vec_id").alias("segment_id"), F.col("embedding").alias("vb"))
+    return pages.join(segments, "label").select("page_id", "segment_id", cosine(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") > SIMILAR).withColumn("score", F.round("score", 6))
+
+
+@query("knn_search", f"WITH {Q_SQL} SELECT vec_id, round({cos_sql('embedding', 'qe')}, 6) AS score FROM embeddings, q ORDER BY {cos_sql('embedding', 'qe')} DESC, vec_id LIMIT 20")
+def knn_search(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_hits(vectors(spark, folder), "vec_id", "embedding", first_vector(spark, folder), 20).withColumn("score", F.round("score", 6))
+
+
+@query("floor_and_gate", f"WITH {Q_SQL}, h AS (SELECT vec_id, {cos_sql('embedding', 'qe')} AS s FROM embeddings, q WHERE vec_id <> (SELECT min(vec_id) FROM embeddings)), k AS (SELECT * FROM h WHERE s >= 0.25) SELECT vec_id, round(s, 6) AS score FROM k WHERE s >= (SELECT max(s) FROM k) * 0.6")
+def floor_and_gate_query(spark: SparkSession, folder: str) -> DataFrame:
+    q = F.array(*[F.lit(float(x)) for x in first_vector(spark, folder)])
+    v = vectors(spark, folder)
+    hits = v.join(F.broadcast(v.agg(F.min("vec_id").alias("self"))), F.col("vec_id") != F.col("self")).select("vec_id", cosine(F.col("embedding"), q).alias("score"))
+    return floor_and_gate(hits, "text").withColumn("score", F.round("score", 6))
+
+
+@query(
+    "hybrid_search",
+    f"""WITH {Q_SQL}, h AS (SELECT vec_id, label, {cos_sql('embedding', 'qe')} AS s FROM embeddings, q), v AS (SELECT vec_id, s FROM h WHERE label < 5 ORDER BY s DESC, vec_id LIMIT 60), t AS (SELECT vec_id, s FROM h WHERE label % 2 = 0 ORDER BY s DESC, vec_id LIMIT 60),
+    u AS (SELECT vec_id, s * 0.45 AS p, 'visual' AS tag FROM v WHERE s >= 0.05 UNION ALL SELECT vec_id, s * 0.55, 'text' FROM t WHERE s >= 0.05)
+    SELECT vec_id, round(sum(p), 6) AS score, string_agg(DISTINCT tag, ',' ORDER BY tag) AS matched_on FROM u GROUP BY vec_id ORDER BY sum(p) DESC, vec_id LIMIT 20""",
+)
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    q, v = first_vector(spark, folder), vectors(spark, folder)
+    seen, read = (floor_and_gate(vector_hits(v.filter(part), "vec_id", "embedding", q, over_fetch(20)), space, 0.05, 0.0) for space, part in (("visual", "label < 5"), ("text", "label % 2 = 0")))
+    return hybrid(seen, read, "vec_id", 20).select("vec_id", F.round("score", 6).alias("score"), F.array_join("matched_on", ",").alias("matched_on"))
+
+
+@query(
+    "label_centroids",
+    """WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) AS r(i) GROUP BY label, i), z AS (SELECT label, sqrt(sum(m * m)) AS size FROM p GROUP BY label)
+    SELECT p.label, (i - 1)::INT AS at, round(m / size, 6) AS x FROM p JOIN z ON z.label = p.label""",
+)
+def label_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    flat = centroids(vectors(spark, folder), "label", "embedding").select("label", F.posexplode("centroid").alias("at", "x"))
+    return flat.select("label", "at", F.round("x", 6).alias("x"))
+
+
+@query(
+    "density_clusters",
+    f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {cos_sql('a.embedding', 'b.embedding')} > {LINKED}),
+    r AS (SELECT DISTINCT a AS vec_id, a AS other FROM e UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.other) SELECT vec_id, min(other) AS cluster_id FROM r GROUP BY vec_id""",
+)
+def density_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    # With two members as the least a cluster needs, every linked vector is a core: clusters are components.
+    edges = similar_pairs_of_label(spark, folder, LINKED)
+    return components(edges, "a", "b").select(F.col("node").alias("vec_id"), F.col("component").alias("cluster_id"))
+
+
+@query("linkage_clusters")
+def linkage_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return average_linkage(vectors(spark, folder), "label", "vec_id", "embedding", 0.75)
+
+
+@query("greedy_matches")
+def greedy_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return greedy_matching(presence_jaccard(spark, folder).select("source_file_id", "type_a", "type_b", "jaccard"), "source_file_id", "type_a", "type_b", "jaccard", 0.1)
+
+
+@query(
+    "visual_bins",
+    f"""WITH {A_SQL}, {n_sql('source_file_id', 'start_time')}, p AS (SELECT x.source_file_id AS sa, y.source_file_id AS sb, y.start_time - x.start_time AS d FROM e JOIN n x ON x.id = e.a JOIN n y ON y.id = e.b WHERE x.start_time IS NOT NULL AND y.start_time IS NOT NULL)
+    SELECT sa AS source_a, sb AS source_b, round_even(d, 0)::INT AS bin, count(*) AS members, round(median(d), 6) AS middle, round(CASE WHEN count(*) = 1 THEN 0.1 ELSE stddev_pop(d) END, 6) AS spread FROM p GROUP BY 1, 2, 3""",
+)
+def visual_bins(spark: SparkSession, folder: str) -> DataFrame:
+    n = nodes(spark, folder, "source_file_id", "start_time").filter("start_time is not null")
+    e = alignments(spark, folder)
+    for side in ("a", "b"):
+        e = e.join(n.select(F.col("id").alias(side), F.col("source_file_id").alias(f"source_{side}"), F.col("start_time").alias(f"t_{side}")), side)
+    d = e.withColumn("d", F.col("t_b") - F.col("t_a")).withColumn("bin", F.bround("d", 0).cast("int"))
+    spread = F.when(F.count(F.lit(1)) == 1, 0.1).otherwise(F.stddev_pop("d"))
+    return d.groupBy("source_a", "source_b", "bin").agg(F.count(F.lit(1)).alias("members"), F.round(F.percentile("d", F.lit(0.5)), 6).alias("middle"), F.round(spread, 6).alias("spread"))
+
+
+@query(
+    "case_time_shift",
+    f"WITH {F_SQL}, {T_SQL}, r AS (SELECT f.case_id, min(n.source_file_id) AS reference FROM n JOIN f ON f.id = n.source_file_id GROUP BY 1), o AS (SELECT source_file_id, min(start_time) AS shift FROM n GROUP BY 1) SELECT n.id AS node_id, round(CASE WHEN n.source_file_id = r.reference THEN n.start_time ELSE n.start_time + o.shift END, 6) AS case_time FROM n JOIN f ON f.id = n.source_file_id JOIN r ON r.case_id = f.case_id JOIN o ON o.source_file_id = n.source_file_id",
+)
+def case_time_shift(spark: SparkSession, folder: str) -> DataFrame:
+    n = timed(spark, folder).join(files(spark, folder).select(F.col("id").alias("source_file_id"), "case_id"), "source_file_id")
+    reference = n.groupBy("case_id").agg(F.min("source_file_id").alias("reference"))
+    shift = n.groupBy("source_file_id").agg(F.min("start_time").alias("shift"))
+    moved = F.when(F.col("source_file_id") == F.col("reference"), F.col("start_time")).otherwise(F.col("start_time") + F.col("shift"))
+    return n.join(reference, "case_id").join(shift, "source_file_id").select(F.col("id").alias("node_id"), F.round(moved, 6).alias("case_time"))
+
+
+# --- streams: an extension -----------------------------------------------------------------------------------------
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return windowed(table(spark, folder, "events")).select("hour_start", "event_type", "events", F.round("total", 4).alias("total"))
