@@ -24,6 +24,8 @@ from ledgerlens.llm.linear import Rows, fit_logistic, sigmoid
 DIM = 1 << 18
 #: Documents that the classifier is fitted on at most, and the share of their plain segments that is kept.
 SAMPLE_DOCUMENTS, KEEP_PLAIN = 20_000, 4
+#: Tasks that the sample is spread over: a limit leaves it in one.
+SAMPLE_PARTS = 16
 #: Probability from which an open segment counts as residue in the second fit.
 SURE = 0.9
 #: F1 by which a threshold may fall short of the best.
@@ -180,7 +182,7 @@ def labelled_segments(df: DataFrame, text_col: str, host_col: str | None, sample
     share = min(1.0, sample_documents / total)
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col else F.lit("")
     rows = df.select(F.col(text_col).alias("text"), (F.pmod(F.xxhash64(host), F.lit(10)) < HELD_OUT).alias("held_out")).filter("text is not null")
-    picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample_documents)
+    picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample_documents).repartition(SAMPLE_PARTS)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
