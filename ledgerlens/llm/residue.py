@@ -179,7 +179,8 @@ def _flat(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, n
 def labelled_segments(df: DataFrame, text_col: str, host_col: str | None, sample_documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Segments (segment, label, title, size, held_out), labelled 1 or 0 or left open as 2, of at most ``sample_documents`` documents, chosen by hash."""
     total = max(df.count(), 1)
-    share = min(1.0, sample_documents / total)
+    # A little less than the bound, so that the limit cuts nothing and a rerun takes the same rows.
+    share = 1.0 if total <= sample_documents else 0.97 * sample_documents / total
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col else F.lit("")
     rows = df.select(F.col(text_col).alias("text"), (F.pmod(F.xxhash64(host), F.lit(10)) < HELD_OUT).alias("held_out")).filter("text is not null")
     picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample_documents).repartition(SAMPLE_PARTS)
