@@ -24,6 +24,8 @@ from ledgerlens.llm.linear import Rows, fit_logistic, sigmoid
 DIM = 1 << 18
 #: Documents that the classifier is fitted on at most, and the share of their plain segments that is kept.
 SAMPLE_DOCUMENTS, KEEP_PLAIN = 20_000, 4
+#: Characters that are cut into features together, about.
+CHARS = 2_000_000
 #: Tasks that the sample is spread over: a limit leaves it in one.
 SAMPLE_PARTS = 16
 #: Probability from which an open segment counts as residue in the second fit.
@@ -176,6 +178,15 @@ def _flat(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, n
     return segs, np.array(owner, np.int64), np.array(title, bool), np.array(size, float)
 
 
+def _by_size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of about CHARS characters, so that long texts don't multiply in memory."""
+    for batch in batches:
+        size = batch["text"].str.len().fillna(0).to_numpy(float)
+        part = (np.cumsum(size) // CHARS).astype(int)
+        for k in np.unique(part):
+            yield batch[part == k].reset_index(drop=True)
+
+
 def labelled_segments(df: DataFrame, text_col: str, host_col: str | None, sample_documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Segments (segment, label, title, size, held_out), labelled 1 or 0 or left open as 2, of at most ``sample_documents`` documents, chosen by hash."""
     total = max(df.count(), 1)
@@ -186,7 +197,7 @@ def labelled_segments(df: DataFrame, text_col: str, host_col: str | None, sample
     picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample_documents).repartition(SAMPLE_PARTS)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _by_size(batches):
             segs, owner, title, size = _flat(list(batch["text"]))
             labels = np.array([weak_label(s) for s in segs], np.int64)
             touched = np.zeros(len(batch), bool)
@@ -253,7 +264,7 @@ def score_residue(df: DataFrame, model: ResidueModel, id_col: str = "doc_id", te
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _by_size(batches):
             segs, owner, title, size = _flat(list(batch["text"]))
             p = shared.value.score(segs, title, size)
             best, at = np.zeros(len(batch)), np.full(len(batch), -1)
