@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -59,9 +60,16 @@ class Lexicon:
 
     counts: dict[str, int]
     memo: dict[str, tuple[str, int] | None] = field(default_factory=dict)
+    order: list[str] = field(default_factory=list)
 
     def __getstate__(self):
-        return {"counts": self.counts, "memo": {}}
+        return {"counts": self.counts, "memo": {}, "order": []}
+
+    def trusted(self) -> list[str]:
+        """The words that may be corrections, in order: those with one beginning stand together."""
+        if not self.order:
+            self.order = sorted(w for w, n in self.counts.items() if n >= TRUSTED)
+        return self.order
 
     def correct(self, word: str) -> tuple[str, int] | None:
         """The printed word and the place of the first confusion, if ``word`` (lower case) is a misreading."""
@@ -82,12 +90,14 @@ class Lexicon:
         ratio = RATIO_SYMBOL if any(must) else RATIO_LETTER if len(word) > 3 else RATIO_SHORT
         best: tuple[float, str, int] | None = None
         get = self.counts.get
-        # Depth first over places: a place is kept, or one or two characters are read otherwise.
+        # Depth first over places: a place is kept, or one or two characters are read otherwise. What no correction begins with is left.
+        words = self.trusted()
         stack = [(0, "", 0, 0.0, -1)]
-        steps = 0
-        while stack and steps < 20_000:
-            steps += 1
+        while stack:
             at, built, used, cost, first = stack.pop()
+            k = bisect_left(words, built)
+            if k == len(words) or not words[k].startswith(built):
+                continue
             if at >= len(word):
                 if used and (n := get(built, 0)) >= TRUSTED and n >= ratio * own:
                     score = math.log(n) - cost

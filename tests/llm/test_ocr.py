@@ -15,6 +15,11 @@ def test_confusions(bad, good):
     assert (got is None and bad == "t!irning") or got[0] == good
 
 
+@pytest.mark.parametrize("bad, good", [("fotodokumentaticn", "fotodokumentation"), ("telecommunicatlons", "telecommunications"), ("durchsuchungsbeschlusscs", "durchsuchungsbeschlusses")])
+def test_long_words_are_searched_whole(bad, good):
+    assert read_token(Lexicon({good: 5000}), bad) == (good, [x == y for x, y in zip(bad, good)].index(False))
+
+
 @pytest.mark.parametrize("word", ["witness", "EX-1234", "someone@mail.example", "Quorvald", "12:30", "@handle7", "il", "2023", "", "x" * 5000])
 def test_left_alone(word):
     assert read_token(LEX, word) is None
