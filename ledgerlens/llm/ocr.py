@@ -141,41 +141,89 @@ def read_token(lexicon: Lexicon, token: str) -> tuple[str, int] | None:
     return None if first < 0 else ("".join(out), first)
 
 
-def decode(lexicon: Lexicon, tokens: list[str]) -> list[tuple[str, list[int]]]:
-    """The cheapest path over the lattice of a stretch: printed words with the tokens that they stand for."""
+@dataclass
+class Reading:
+    """A step of a path: printed words, the tokens that they stand for, and where characters were read otherwise (token, place)."""
+
+    words: list[str]
+    tokens: list[int]
+    misread: list[tuple[int, int]] = field(default_factory=list)
+
+
+def price(lexicon: Lexicon, word: str) -> float | None:
+    n = lexicon.counts.get(word, 0)
+    return 14.0 - math.log(n) if n >= TRUSTED else None
+
+
+def _wordlike(core: str) -> bool:
+    return all(c.isalpha() or c in _SYMBOLS for c in core) and any(c.isalpha() for c in core)
+
+
+def _alone(lexicon: Lexicon, token: str) -> list[tuple[float, list[str], int | None]]:
+    """The readings of one token: cost, words, place of a confusion. It is kept, corrected, or split, with a confusion in a part."""
+    at, core = core_of(token)
+    own, got = price(lexicon, core), read_token(lexicon, token)
+    out: list[tuple[float, list[str], int | None]] = [(18.0 if own is None else own + (25.0 if got else 0.0), [token], None)]
+    if got is not None:
+        out.append(((price(lexicon, got[0]) or 14.0) + 3.0, [_dress(token, got[0])], got[1]))
+    if own is not None or not 4 <= len(core) <= 60 or not _wordlike(core):
+        return out
+    for k in range(2, len(core) - 1):
+        left, right = core[:k], core[k:]
+        a, b = price(lexicon, left), price(lexicon, right)
+        if a is not None and b is not None and a + b < 14:
+            out.append((a + b + 6.0, [token[: at + k], token[at + k :]], None))
+        elif a is not None and a < 11 and (fix := lexicon.correct(right)) is not None and a + (b := price(lexicon, fix[0]) or 14.0) + 3.0 < 14:
+            out.append((a + b + 9.0, [token[: at + k], _dress(token[at + k :], fix[0])], at + k + fix[1]))
+        elif b is not None and b < 11 and (fix := lexicon.correct(left)) is not None and b + (a := price(lexicon, fix[0]) or 14.0) + 3.0 < 14:
+            out.append((a + b + 9.0, [_dress(token[: at + k], fix[0]), token[at + k :]], at + fix[1]))
+    return out
+
+
+def _joined(lexicon: Lexicon, one: str, two: str) -> tuple[float, str, int | None] | None:
+    """The cost of two tokens as one word, the word, and the place of a confusion in the two. A capital opens a word of its own."""
+    at, a = core_of(one)
+    before, b = core_of(two)
+    if before or at + len(a) < len(one) or not (a and b and _wordlike(a) and _wordlike(b)) or (price(lexicon, a) is not None and price(lexicon, b) is not None):
+        return None
+    if any(c.isupper() for c in two) and not (one.isupper() and two.isupper() and len(b) > 1):
+        return None
+    if (p := price(lexicon, a + b)) is not None:
+        return p + 4.0, _dress(one + two, a + b), None
+    if (fix := lexicon.correct(a + b)) is None:
+        return None
+    return (price(lexicon, fix[0]) or 14.0) + 7.0, _dress(one + two, fix[0]), at + fix[1]
 
-    def price(word: str) -> float | None:
-        n = lexicon.counts.get(word, 0)
-        return 14.0 - math.log(n) if n >= TRUSTED else None
 
-    best: list[tuple[float, int, list[tuple[str, list[int]]]]] = [(0.0, -1, [])] + [(math.inf, -1, [])] * len(tokens)
+def read_stretch(lexicon: Lexicon, tokens: list[str]) -> list[Reading]:
+    """The cheapest path over the lattice of a stretch."""
+    best: list[tuple[float, int, Reading]] = [(0.0, -1, Reading([], []))] + [(math.inf, -1, Reading([], []))] * len(tokens)
     for i, token in enumerate(tokens):
         here = best[i][0]
-        _, core = core_of(token)
-        options: list[tuple[float, int, list[tuple[str, list[int]]]]] = []
-        got = read_token(lexicon, token)
-        options.append((18.0 if price(core) is None else price(core) + (25.0 if got else 0.0), 1, [(token, [i])]))
-        if got is not None:
-            options.append(((price(got[0]) or 14.0) + 3.0, 1, [(_dress(token, got[0]), [i])]))
-        if price(core) is None and got is None:
-            if i + 1 < len(tokens) and core.isalpha():
-                joined = core + core_of(tokens[i + 1])[1]
-                if (p := price(joined)) is not None and price(core_of(tokens[i + 1])[1]) is None:
-                    options.append((p + 4.0, 2, [(_dress(token + tokens[i + 1], joined), [i, i + 1])]))
-            for k in range(2, len(core) - 1) if core.isalpha() else ():
-                a, b = price(core[:k]), price(core[k:])
-                if a is not None and b is not None and a + b < 14:
-                    at = core_of(token)[0] + k
-                    options.append((a + b + 6.0, 1, [(token[:at], [i]), (token[at:], [i])]))
-        for cost, step, words in options:
-            if here + cost < best[i + step][0]:
-                best[i + step] = (here + cost, i, words)
+        for cost, words, place in _alone(lexicon, token):
+            if here + cost < best[i + 1][0]:
+                best[i + 1] = (here + cost, i, Reading(words, [i], [] if place is None else [(i, place)]))
+        if i + 1 < len(tokens) and (got := _joined(lexicon, token, tokens[i + 1])) is not None and here + got[0] < best[i + 2][0]:
+            place = got[2]
+            misread = [] if place is None else [(i, place) if place < len(token) else (i + 1, place - len(token))]
+            best[i + 2] = (here + got[0], i, Reading([got[1]], [i, i + 1], misread))
     out, i = [], len(tokens)
     while i > 0:
-        _, prev, words = best[i]
-        out[:0] = words
+        _, prev, step = best[i]
+        out.append(step)
         i = prev
-    return out
+    return out[::-1]
+
+
+def decode(lexicon: Lexicon, tokens: list[str]) -> list[tuple[str, list[int]]]:
+    """The cheapest path over the lattice of a stretch: printed words with the tokens that they stand for."""
+    return [(w, step.tokens) for step in read_stretch(lexicon, tokens) for w in step.words]
+
+
+def is_open(lexicon: Lexicon, token: str) -> bool:
+    """Whether a token has another reading than itself: words that are known and have no correction part the stretches."""
+    core = core_of(token)[1]
+    return read_token(lexicon, token) is not None or (price(lexicon, core) is None and _wordlike(core))
 
 
 def _dress(token: str, word: str) -> str:
@@ -231,62 +279,84 @@ class PageNoise:
 
 
 def inspect(lexicon: Lexicon, text: str, verdicts: dict[str, bool]) -> PageNoise:
-    """Broken and misread words of each line, and the lines at head and foot. ``verdicts`` remembers tokens."""
+    """Broken words of each line, those that the cheapest path reads otherwise, and the lines at head and foot. ``verdicts`` remembers tokens."""
     lines = text.split("\n")
     filled = [i for i, s in enumerate(lines) if s and not s.isspace()]
     rows: list[tuple[str, int]] = []
     near = dict.fromkeys(filled[:EDGE] + filled[-EDGE:])
     edges = [(i + 1, title_key(lines[i]), page_value(lines[i]), _SIDE_NUMBER.search(lines[i].strip()) is not None) for i in near if len(lines[i]) <= EDGE_LENGTH]
-    after = dict(zip(filled, filled[1:]))
-    carried: tuple[int, int] | None = None
-    for i in filled:
+    # The page as one stream: a word that a line's end breaks is one token, of which ``cut`` characters are of the first line.
+    stream: list[str] = []
+    where: list[tuple[int, int, int, str, str]] = []  # line, line after the cut, cut, and the two parts
+    for i, following in zip(filled, [*filled[1:], None]):
         tokens = lines[i].split()
-        bad = False
-        first = 0
-        if carried is not None and carried[0] == i:
-            # The line's first token ends a word that was decoded with the line before.
-            first, bad = 1, bool(carried[1])
-        carried = None
-        last = len(tokens)
-        if tokens[-1][-1] in HYPHENS and _BROKEN.search(lines[i]) and i in after:
-            nxt = lines[after[i]].split()[0]
+        if stream and where[-1][1] == i:
+            del tokens[0]
+        broken = None
+        if following is not None and lines[i].rstrip()[-1] in HYPHENS and _BROKEN.search(lines[i]):
+            nxt = lines[following].split()[0]
             if nxt[:1].isalpha() or nxt[:1] in _SYMBOLS:
                 rows.append(("hyphen", i + 1))
-                if last > first:
-                    left = tokens[-1].rstrip(HYPHENS)
-                    whole, dashed = left + nxt, f"{left}-{nxt}"
-                    last -= 1
-                    if not lexicon.known(core_of(whole)[1]) and not lexicon.known(core_of(dashed)[1]):
-                        got = read_token(lexicon, whole) or read_token(lexicon, dashed)
-                        if got is not None:
-                            if got[1] < len(left):
-                                bad = True
-                            carried = (after[i], int(got[1] >= len(left) or _second(lexicon, left, nxt, got)))
-                        else:
-                            bad |= read_token(lexicon, left) is not None and not lexicon.known(core_of(left)[1])
-                            carried = (after[i], int(read_token(lexicon, nxt) is not None and not lexicon.known(core_of(nxt)[1])))
-                    else:
-                        got = read_token(lexicon, whole) if lexicon.known(core_of(whole)[1]) else None
-                        if got is not None and got[1] < len(left):
-                            bad = True
-                        carried = (after[i], int(got is not None and got[1] >= len(left)))
-        for t in tokens[first:last]:
-            v = verdicts.get(t)
-            if v is None:
-                if len(verdicts) > 400_000:
-                    verdicts.clear()
-                v = verdicts[t] = read_token(lexicon, t) is not None
-            if v:
-                bad = True
-        if bad:
-            rows.append(("misread", i + 1))
+                if tokens:
+                    left = tokens.pop().rstrip(HYPHENS)
+                    broken = (_unbroken(lexicon, left, nxt), (i, following, len(left), left, nxt))
+        stream += tokens
+        where += [(i, i, 0, "", "")] * len(tokens)
+        if broken is not None:
+            stream.append(broken[0])
+            where.append(broken[1])
+    bad: set[int] = set()
+    for step in _readings(lexicon, stream, verdicts):
+        for k, place in step.misread:
+            line, second, cut, left, right = where[k]
+            if second == line or place < cut:
+                bad.add(line)
+                if second != line and _second(right, step.words[-1]):
+                    bad.add(second)
+            else:
+                bad.add(second)
+    rows += [("misread", i + 1) for i in sorted(bad)]
     return PageNoise(rows, edges)
 
 
-def _second(lexicon: Lexicon, left: str, right: str, got: tuple[str, int]) -> bool:
+def _unbroken(lexicon: Lexicon, left: str, right: str) -> str:
+    """A word broken at a line's end as one token: with its hyphen where only this makes it a word, or lets it be read."""
+    whole, dashed = left + right, f"{left}-{right}"
+    if lexicon.known(core_of(whole)[1]):
+        return whole
+    if lexicon.known(core_of(dashed)[1]) or (read_token(lexicon, whole) is None and read_token(lexicon, dashed) is not None):
+        return dashed
+    return whole
+
+
+def _readings(lexicon: Lexicon, stream: list[str], verdicts: dict[str, bool]) -> Iterator[Reading]:
+    """The steps of the cheapest path over a stream that are in stretches with an open token. ``verdicts`` remembers those.
+
+    Of two known words without another reading none joins the other, so the path is the same as over the whole.
+    """
+    if len(verdicts) > 400_000:
+        verdicts.clear()
+    free = []
+    for k, t in enumerate(stream):
+        v = verdicts.get(t)
+        if v is None:
+            v = verdicts[t] = is_open(lexicon, t)
+        if v:
+            free.append(k)
+    at = 0
+    while at < len(free):
+        a = b = free[at]
+        while at < len(free) and free[at] <= b + 2:
+            b = free[at]
+            at += 1
+        a, b = max(a - 1, 0), min(b + 2, len(stream))
+        for step in read_stretch(lexicon, stream[a:b]):
+            yield Reading(step.words, [a + k for k in step.tokens], [(a + k, place) for k, place in step.misread])
+
+
+def _second(right: str, printed: str) -> bool:
     """Whether the right part of a broken word was misread too: its letters don't end the printed word."""
-    tail = core_of(right)[1]
-    return not got[0].endswith(tail)
+    return not core_of(printed)[1].endswith(core_of(right)[1])
 
 
 def paragraphs(lexicon: Lexicon, text: str, dropped: set[int]) -> list[str]:

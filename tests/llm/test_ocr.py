@@ -42,6 +42,14 @@ def test_lines_of_a_page():
     assert inspect(LEX, "the w1t-\nness", {}).rows == [("hyphen", 1), ("misread", 1)]
 
 
+def test_path_of_a_page():
+    often = Lexicon({w: 50_000 for w in WORDS})
+    assert inspect(LEX, "the w1t ness left\nthe wit ness and heardvehicle", {}).rows == [("misread", 1)]
+    assert inspect(often, "he heardvehiclc turning\nthe wit ness and heardvehicle", {}).rows == [("misread", 1)]
+    assert inspect(often, "several neigh-\nb0urs heardve-\nhiclc turning", {}).rows == [("hyphen", 1), ("hyphen", 2), ("misread", 2), ("misread", 3)]
+    assert [w for w, _ in decode(often, ["the", "w1t", "ness", "heardvehiclc"])] == ["the", "witness", "heard", "vehicle"]
+
+
 def test_paragraphs():
     text = "Title\nThe witness handed over a metal con-\ntainer without comment after minutes.\nThe officer noticed a crackcd bottle be¬\nside the entrance.\n\nSeveral neighbours heard a vehicle.\n7"
     assert paragraphs(LEX, text, {1, 8}) == ["The witness handed over a metal container without comment after minutes. The officer noticed a cracked bottle beside the entrance.", "Several neighbours heard a vehicle."]
