@@ -19,7 +19,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import star_forest
@@ -37,8 +37,10 @@ FAR_RARER = 20
 FLOOR_SHARE, FLOOR = 1e-3, 3
 #: Names in a list of one gram and scope that are joined without chunks.
 CHUNK = 2_000
-#: Classes of a component whose similarities are all computed, and that are held in one task at all.
-ALL_PAIRS, MAX_COMPONENT = 300, 5_000
+#: Classes of a component that are grouped in one task, and in a block of a larger one.
+ALL_PAIRS, BLOCK = 300, 250
+#: How much nearer than the next a group must be for a weak name to join it.
+APART = 0.04
 KINDS = ("person", "organization")
 
 # Titles, particles and suffixes of names, legal forms, abbreviations in firms' names, and nicknames.
@@ -303,14 +305,15 @@ def average_linkage(s: np.ndarray, weak: np.ndarray, cut: float) -> np.ndarray:
     merge_all(strong)
     loose = weak.copy()
     merge_all(loose)
+    first = group.copy()
     for j in np.flatnonzero(loose):
         at = np.flatnonzero(strong)
         if not len(at):
             continue
-        own = group == group[j]
-        near = np.array([s[np.ix_(own, group == k)].max(axis=1).mean() for k in at])
+        own = first == first[j]
+        near = np.array([s[np.ix_(own, first == k)].max(axis=1).mean() for k in at])
         order = np.argsort(-near, kind="stable")
-        if near[order[0]] >= cut and (len(order) == 1 or near[order[1]] < near[order[0]] - 0.04):
+        if near[order[0]] >= cut and (len(order) == 1 or near[order[1]] < near[order[0]] - APART):
             group[group == group[j]] = group[at[order[0]]]
     return group
 
@@ -390,8 +393,8 @@ def variant_groups(
 
     Left out: null ids, null scopes, other kinds (compared trimmed and in lower case), names without a letter.
     A null or blank name gives way to ``other_name_col``. A repeated id counts once (smallest values). Names that
-    are equal once cleaned are always one group; in a component too large for one task links are dropped from the
-    weakest up until it falls apart. An empty input gives an empty result. Other columns are ignored.
+    are equal once cleaned are always one group; all similarities of a component enter the linkage, whatever its
+    size. An empty input gives an empty result. Other columns are ignored.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -418,7 +421,7 @@ def variant_groups(
     for t in (first, pairs, grams):
         scratch.drop(t)
     roots = _components(scratch, links)
-    grouped = _group(vectors, links, roots)
+    grouped = _group(scratch, vectors, roots)
     # Classes without a link are groups of their own.
     of_class = scratch.cut(vectors.join(grouped, "n", "left").select("scope", "key", "least", F.coalesce("g", "n").alias("g")), "of_class")
     least = of_class.groupBy("g").agg(F.min("least").alias("group_id"))
@@ -427,45 +430,95 @@ def variant_groups(
 
 
 def _components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """(n, root) of linked classes, in components of at most MAX_COMPONENT."""
-    edges, done = links, None
-    for least in (LINK, 0.7, 0.8, 0.9, 0.97, 1.0):
-        kept = scratch.cut(edges.filter(F.col("s") >= least).select("hi", "lo"), "kept")
-        stars = star_forest(scratch, kept) if not kept.isEmpty() else kept
-        roots = scratch.cut(stars.select(F.col("hi").alias("n"), F.col("lo").alias("root")).union(stars.select("lo", "lo").distinct()), "roots")
-        large = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MAX_COMPONENT).select("root")
-        if least == 1.0 or large.isEmpty():
-            return roots if done is None else done.unionByName(roots)
-        fine = scratch.cut(roots.join(large, "root", "left_anti").select("n", "root"), "fine")
-        done = fine if done is None else done.unionByName(fine)
-        edges = edges.join(roots.join(large, "root", "left_semi").select(F.col("n").alias("hi")), "hi", "left_semi")
-    raise AssertionError
-
-
-def _group(vectors: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
-    """(n, g): average linkage within each component."""
+    """(n, root) of linked classes."""
+    stars = star_forest(scratch, scratch.cut(links.select("hi", "lo"), "kept")) if not links.isEmpty() else links
+    return scratch.cut(stars.select(F.col("hi").alias("n"), F.col("lo").alias("root")).union(stars.select("lo", "lo").distinct()), "roots")
+
+
+def _names_of(rows: pd.DataFrame) -> list[Name]:
+    return [Name(r.kind, r.key, dict(zip(r.grams, r.freq)), max(COMMON, COMMON_SHARE * r.names)) for r in rows.itertuples()]
+
+
+def _group(scratch: Scratch, vectors: DataFrame, roots: DataFrame, all_pairs: int | None = None) -> DataFrame:
+    """(n, g): average linkage within each component, in one task up to ``all_pairs`` classes and in rounds above."""
+    limit = ALL_PAIRS if all_pairs is None else all_pairs
+    sized = scratch.cut(roots.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "sized")
     members = roots.join(vectors.drop("scope", "least"), "n")
-    inside = links.join(roots.select(F.col("n").alias("hi"), F.col("root").alias("of")), "hi").select("of", "hi", "lo", "s")
 
-    def run(own: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
+    def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("n", ignore_index=True)
-        if len(own) < 2 or len(own) > MAX_COMPONENT:
-            return pd.DataFrame({"n": own["n"], "g": own["n"].min()})
-        names = [Name(r.kind, r.key, dict(zip(r.grams, r.freq)), max(COMMON, COMMON_SHARE * r.names)) for r in own.itertuples()]
+        names = _names_of(own)
         s = np.zeros((len(own), len(own)))
-        if len(own) <= ALL_PAIRS:
-            for i in range(len(own)):
-                for j in range(i):
-                    s[i, j] = s[j, i] = similarity(names[i], names[j])
-        else:
-            at = {n: k for k, n in enumerate(own["n"])}
-            for r in linked.itertuples():
-                if r.hi in at and r.lo in at:
-                    s[at[r.hi], at[r.lo]] = s[at[r.lo], at[r.hi]] = r.s
+        for i in range(len(own)):
+            for j in range(i):
+                s[i, j] = s[j, i] = similarity(names[i], names[j])
         group = average_linkage(s, np.array([x.weak for x in names]), GROUP)
         return pd.DataFrame({"n": own["n"], "g": own["n"].to_numpy()[group]})
 
-    return members.groupBy("root").cogroup(inside.groupBy("of")).applyInPandas(run, "n long, g long")
+    small = members.join(sized.filter(F.col("m") <= limit).select("root"), "root", "left_semi").groupBy("root").applyInPandas(run, "n long, g long")
+    large = sized.filter(F.col("m") > limit)
+    return small if large.isEmpty() else small.unionByName(_group_large(scratch, members.join(large, "root")))
+
+
+def _group_large(scratch: Scratch, members: DataFrame) -> DataFrame:
+    """(n, g) as average_linkage() groups: all pairs of a component block by block, then rounds over the sums of groups."""
+    chunks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("n"), chunks).cast("int")
+    others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(c, F.col("own")).alias("i"), F.greatest(c, F.col("own")).alias("j")))
+    keyed = members.withColumn("own", own).withColumn("c", F.explode(others)).select("root", "n", "kind", "key", "grams", "freq", "names", "own", "c.i", "c.j")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        i, j = block["i"].iat[0], block["j"].iat[0]
+        block = block.sort_values("n", ignore_index=True)
+        names, n, of = _names_of(block), block["n"].tolist(), block["own"].tolist()
+        # Of two unlike blocks only names of both meet: the others meet in their own.
+        rows = [(n[y], n[x], s, names[y].weak, names[x].weak) for x in range(len(n)) for y in range(x) if (i == j or of[x] != of[y]) and (s := similarity(names[x], names[y])) > 0]
+        return pd.DataFrame(rows, columns=["a", "b", "s", "weak_a", "weak_b"]).astype({"a": "int64", "b": "int64", "s": "float64", "weak_a": bool, "weak_b": bool})
+
+    pairs = scratch.cut(keyed.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long, s double, weak_a boolean, weak_b boolean"), "alike")
+    # Each name is linked to another, so it stands in a pair.
+    ends = F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("weak_a").alias("weak")), F.struct(F.col("b").alias("n"), F.col("weak_b").alias("weak"))))
+    names = scratch.cut(pairs.select(ends.alias("x")).select("x.n", "x.weak").distinct(), "ends")
+    strong = _rounds(scratch, pairs.filter("not weak_a and not weak_b").select("a", "b", F.col("s").alias("total")), names.filter("not weak").select("n"))
+    loose = _rounds(scratch, pairs.filter("weak_a and weak_b").select("a", "b", F.col("s").alias("total")), names.filter("weak").select("n"))
+    # A weak group is as near to another as the nearest names there are to its own, on average.
+    mixed = pairs.filter("weak_a <> weak_b").select(F.when(F.col("weak_a"), F.col("a")).otherwise(F.col("b")).alias("w"), F.when(F.col("weak_a"), F.col("b")).otherwise(F.col("a")).alias("n"), "s")
+    best = mixed.join(strong.withColumnRenamed("g", "k"), "n").groupBy("w", "k").agg(F.max("s").alias("s"))
+    held = loose.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    near = best.join(loose.withColumnRenamed("n", "w"), "w").groupBy("g", "k").agg(F.sum("s").alias("total")).join(held, "g").select("g", "k", (F.col("total") / F.col("size")).alias("near"))
+    order = Window.partitionBy("g").orderBy(F.desc("near"), "k")
+    first = near.withColumn("next", F.lead("near").over(order)).withColumn("rank", F.row_number().over(order)).filter("rank = 1")
+    joins = first.filter((F.col("near") >= GROUP) & (F.col("next").isNull() | (F.col("next") < F.col("near") - APART))).select("g", "k")
+    return strong.unionByName(loose.join(joins, "g", "left").select("n", F.coalesce("k", "g").alias("g")))
+
+
+def _rounds(scratch: Scratch, sums: DataFrame, names: DataFrame) -> DataFrame:
+    """(n, g): groups merge that are each other's nearest on average, until no two reach GROUP.
+
+    A merger is never nearer to a third group than the nearer of its parts, so these mergers are those that
+    taking the nearest two one by one makes, but for ties. Pairs without a row count as 0. A group's number is its least name.
+    """
+    of = scratch.cut(names.select("n", F.col("n").alias("g")), "of")
+    sums = scratch.cut(sums, "sums")
+    while True:
+        sizes = scratch.cut(of.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        mean = F.round(F.col("total") / (F.col("size_a") * F.col("size_b")), 12)
+        means = sums.join(sizes.select(F.col("g").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("g").alias("b"), F.col("size").alias("size_b")), "b").withColumn("mean", mean).filter(F.col("mean") >= GROUP)
+        pair = F.struct("mean", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
+        nearest = means.select(F.explode(F.array("a", "b")).alias("n"), pair.alias("p")).groupBy("n").agg(F.max("p").alias("p"))
+        both = nearest.groupBy("p").agg(F.count(F.lit(1)).alias("k")).filter("k = 2")
+        lead = scratch.cut(both.select((-F.col("p.b")).alias("g"), (-F.col("p.a")).alias("to")), "lead")
+        if lead.isEmpty():
+            return of
+        old = of, sums, sizes
+        of = scratch.cut(of.join(lead, "g", "left").select("n", F.coalesce("to", "g").alias("g")), "of")
+        moved = sums
+        for side in ("a", "b"):
+            moved = moved.join(lead.select(F.col("g").alias(side), F.col("to").alias(f"to_{side}")), side, "left").withColumn(side, F.coalesce(f"to_{side}", side)).drop(f"to_{side}")
+        moved = moved.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("total").alias("total"))
+        sums = scratch.cut(moved, "sums")
+        for t in (*old, lead):
+            scratch.drop(t)
 
 
 def variant_pairs(groups: DataFrame, id_col: str = "id") -> DataFrame:

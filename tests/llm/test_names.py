@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from ledgerlens.llm import names
 from ledgerlens.llm.names import Name, average_linkage, describe, edits, fold, parse_firm, parse_person, similarity, variant_groups, variant_pairs
 
 SCHEMA = "id string, case_id string, entity_type string, canonical_name string, normalized_name string"
@@ -84,3 +85,19 @@ def test_dirty_rows(spark):
     assert groups(spark, []) == {}
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA + ", n int, scope int")
     assert [tuple(r) for r in variant_pairs(variant_groups(df)).collect()] == [("1", "2")]
+
+
+def test_groups_dont_depend_on_size(spark, monkeypatch):
+    rng = random.Random(5)
+    firsts, lasts = ["Charles", "Josephine", "Margaret", "Christopher"], ["Brackwoden", "Stilmarsh", "Quorlington"]
+    rows = []
+    for f in firsts:
+        for last in lasts:
+            k = rng.randrange(2, len(last))
+            forms = [f"{f} {last}", f"{f[0]}. {last}", f"{f} {last[:k]}x{last[k:]}", f"{f} {f[0]}. {last}", f"{f} {last} Jr", f"{f[:4]}{f[5:]} {last}", f"{f} {last[:k]}{last[k + 1:]}"]
+            rows += [(f"e{len(rows) + i:04}", "a", "person", form, None) for i, form in enumerate(forms)]
+    rows += [(f"f{i}", "a", "organization", form, None) for i, form in enumerate(["Brackwoden Supplies Ltd", "Brackwodn Supplies Ltd", "Brackwoden Supplis", "B.S.", "Brackwoden Supplies Limited"])]
+    small = groups(spark, rows)
+    monkeypatch.setattr(names, "ALL_PAIRS", 2)
+    monkeypatch.setattr(names, "BLOCK", 3)
+    assert groups(spark, rows) == small and len(set(small.values())) < len(rows) / 2
