@@ -73,7 +73,8 @@ class Index:
         lists: dict[int, list[tuple[int, float]]] = {}
         for i, own in enumerate(pairs):
             scores = {t: math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(own) / mean)) for t, n in Counter(own).items()}
-            whole = sum(scores.values())
+            # Of an item longer than a passage, the score of a passage's share of it counts as whole.
+            whole = sum(scores.values()) * min(1.0, PASSAGE / max(len(own), 1))
             for t, s in scores.items():
                 lists.setdefault(t, []).append((i, s / whole))
         self.keys = np.array(sorted(lists), np.int64)

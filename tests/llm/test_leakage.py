@@ -81,3 +81,14 @@ def test_dirty_rows(spark):
     assert find_leaks(d.limit(0), i).collect() == [] and find_leaks(d, i.limit(0)).collect() == []
     row = next(r for r in find_leaks(spark.createDataFrame([(1, items[3][1] + " " + items[3][3])], "doc_id long, text string"), i).collect())
     assert row.has_answer and row.coverage == 1.0 and row.stretches == 1
+
+
+def test_items_longer_than_passages_are_retrieved():
+    long = " ".join(f"w{k}" for k in range(6000))
+    index = Index([("i", long, "", ""), ("j", "some other short item", "", "")])
+    ws = words(f"before {long} after")
+    size = len(index.vocabulary)
+    numbers = [index.vocabulary.get(w, -1) for w in ws]
+    at = {int(k): n for n, k in enumerate(index.keys)}
+    pairs = np.array([at.get(a * size + b, -1) if a >= 0 and b >= 0 else -1 for a, b in zip(numbers, numbers[1:])])
+    assert 0 in index.candidates(pairs, 0.08)
