@@ -1,20 +1,21 @@
 """Held-out test passages inside corpus documents: BM25 retrieval by block-max WAND, then alignment.
 
 The test items are the indexed side: an inverted index whose terms are pairs of neighbouring words, with
-BM25 impacts divided by the item's own score, so that one threshold serves items of all lengths. It is
-broadcast in blocks of a bounded number of items. Every document is cut into overlapping passages, each
-passage queries the index, and every item above the threshold is retrieved. Retrieved items are aligned with
-the whole document: chains of shared word pairs, in order and close together, form stretches, and the best one
-or two must cover the required share of the item's words. Overlap with question and answer is reported.
+BM25 impacts divided by the item's own score, so that one threshold serves items of all lengths. Document
+frequencies are those of all items. Tasks build the index in shards of a bounded number of items and words; the
+driver holds one at a time and passes it on, and the documents are scanned once, whatever the number of shards.
+Every document is cut into overlapping passages, each passage queries the index, and every item above the threshold
+is retrieved: the weak AND is tested for all blocks of items at once on their maxima, and only blocks that pass are
+opened. Retrieved items are aligned with the whole document: chains of shared word pairs, in order and close
+together, form stretches, and the best one or two must cover the required share of the item's words. Overlap with
+question and answer is reported.
 """
 
 from __future__ import annotations
 
-import math
+import pickle
 import re
 import unicodedata
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +23,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.runtime import Scratch, lookup_join
+
 #: Share of the item's words that one or two stretches must cover.
 COVERAGE = 0.4
 #: Share of an item's own BM25 score from which it is retrieved: a fraction of what the shorter of two stretches holds.
 RETRIEVE = 0.08
 #: Words of a passage and between the starts of two; any stretch of half a passage lies whole in one.
 PASSAGE, STEP = 256, 128
-#: Items in a broadcast index; more items make more blocks.
-BLOCK_ITEMS = 20_000
-#: Postings in a block of a list, with a maximum of its own.
-POSTINGS = 64
+#: Items, and words of them, in a shard of the index, about: more make more shards.
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
+#: Neighbouring items whose postings of a term form a block, with a maximum of its own.
+ITEMS = 8
 #: Words that may lie between two neighbouring matches of a stretch.
 GAP = 4
 #: Words and share of the item that a second stretch has at least.
@@ -49,39 +52,68 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to its end, one range after the other."""
+    size = end - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class Index:
-    """Inverted lists of word pairs over items, with block maxima."""
+    """Inverted lists of word pairs over items, in blocks of neighbouring items with their maxima.
 
-    def __init__(self, items: list[tuple[object, str | None, str | None, str | None]]):
+    ``frequency`` (items with a pair, by the pair's two words), ``count`` and ``mean`` (pairs of an item) are those
+    of all items where this index is a shard of them.
+    """
+
+    def __init__(self, items: list[tuple[object, str | None, str | None, str | None]], frequency: dict[str, int] | None = None, count: int | None = None, mean: float | None = None):
         self.ids = [i for i, _, _, _ in items]
-        self.items = [words(p or "") for _, p, _, _ in items]
+        texts = [words(p or "") for _, p, _, _ in items]
+        self.length = [len(t) for t in texts]
         self.question = [set(words(q or "")) for _, _, q, _ in items]
         self.answer = [" ".join(words(a or "")) for _, _, _, a in items]
         self.vocabulary: dict[str, int] = {}
-        for item in self.items:
-            for w in item:
+        for t in texts:
+            for w in t:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         size = len(self.vocabulary)
-        numbers = [[self.vocabulary[w] for w in item] for item in self.items]
-        pairs = [[a * size + b for a, b in zip(n, n[1:])] for n in numbers]
-        self.places = [{} for _ in items]
-        for place, own in zip(self.places, pairs):
-            for q, t in enumerate(own):
-                place.setdefault(t, []).append(q)
-        df = Counter(t for own in pairs for t in set(own))
-        mean = sum(map(len, pairs)) / max(len(pairs), 1) or 1.0
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, own in enumerate(pairs):
-            scores = {t: math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(own) / mean)) for t, n in Counter(own).items()}
-            # Of an item longer than a passage, the score of a passage's share of it counts as whole.
-            whole = sum(scores.values()) * min(1.0, PASSAGE / max(len(own), 1))
-            for t, s in scores.items():
-                lists.setdefault(t, []).append((i, s / whole))
-        self.keys = np.array(sorted(lists), np.int64)
-        self.docs = [[i for i, _ in lists[k]] for k in self.keys.tolist()]
-        self.impacts = [[s for _, s in lists[k]] for k in self.keys.tolist()]
-        self.blocks = [[max(s[j : j + POSTINGS]) for j in range(0, len(s), POSTINGS)] for s in self.impacts]
-        self.most = np.array([max(s) for s in self.impacts], float)
+        numbers = [np.array([self.vocabulary[w] for w in t], np.int64) for t in texts]
+        own = [n[:-1] * size + n[1:] for n in numbers]
+        sizes = np.array([len(o) for o in own], np.int64)
+        self.keys, term = np.unique(np.concatenate(own) if own else np.zeros(0, np.int64), return_inverse=True)
+        #: The terms of each item by place, and its places by term.
+        self.terms = np.split(term.astype(np.int32), np.cumsum(sizes)[:-1]) if own else []
+        self.places = [np.argsort(t, kind="stable") for t in self.terms]
+        total = max(len(self.keys), 1)
+        posting, n = np.unique(np.repeat(np.arange(len(items)), sizes) * total + term, return_counts=True)
+        item, term = posting // total, posting % total
+        if frequency is None:
+            df = np.bincount(term, minlength=len(self.keys)).astype(float)
+        else:
+            spelled = list(self.vocabulary)
+            df = np.array([frequency.get(f"{spelled[k // size]} {spelled[k % size]}", 1) for k in self.keys.tolist()], float)
+        count = len(items) if count is None else count
+        mean = (sizes.mean() if len(sizes) else 0.0) if mean is None else mean
+        idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
+        score = idf[term] * n * (K1 + 1) / (n + K1 * (1 - B + B * sizes[item] / (mean or 1.0)))
+        # Of an item longer than a passage, the score of a passage's share of it counts as whole.
+        whole = np.bincount(item, score, minlength=len(items)) * np.minimum(1.0, PASSAGE / np.maximum(sizes, 1))
+        order = np.lexsort((item, term))
+        self.item, self.impact, term = item[order], (score / whole[item])[order], term[order]
+        self.from_ = np.searchsorted(term, np.arange(len(self.keys) + 1))
+        opens = np.flatnonzero(np.diff(term * len(items) + self.item // ITEMS, prepend=-1)) if len(term) else np.zeros(0, np.int64)
+        self.block_from = np.append(opens, len(term))
+        self.block = self.item[opens] // ITEMS
+        self.most = np.maximum.reduceat(self.impact, opens) if len(opens) else np.zeros(0)
+        self.blocks_from = np.searchsorted(term[opens], np.arange(len(self.keys) + 1))
+
+    @property
+    def docs(self) -> list[np.ndarray]:
+        """The items of each term."""
+        return np.split(self.item, self.from_[1:-1])
+
+    @property
+    def impacts(self) -> list[np.ndarray]:
+        return np.split(self.impact, self.from_[1:-1])
 
     def pairs_of(self, tokens: list[str]) -> np.ndarray:
         """The number of each pair of neighbouring words, -1 where no item has it."""
@@ -93,51 +125,19 @@ class Index:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, at, -1)
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose score reaches the threshold, by block-max WAND."""
-        end = len(self.ids)
-        cursors = [[self.docs[t][0], 0, t] for t in terms]
-        found = []
-        while True:
-            cursors.sort()
-            bound, pivot = 0.0, -1
-            for k, (doc, _, t) in enumerate(cursors):
-                if doc >= end:
-                    break
-                bound += self.most[t]
-                if bound >= threshold:
-                    pivot = k
-                    break
-            if pivot < 0:
-                return found
-            target = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == target:
-                pivot += 1
-            here, border = 0.0, end
-            for doc, at, t in cursors[: pivot + 1]:
-                k = (at if doc == target else bisect_left(self.docs[t], target, at)) // POSTINGS
-                if k < len(self.blocks[t]):
-                    here += self.blocks[t][k]
-                    if (k + 1) * POSTINGS < len(self.docs[t]):
-                        border = min(border, self.docs[t][(k + 1) * POSTINGS])
-            if here < threshold:
-                # No item before the next block's first can reach it, unless a list beyond the pivot joins in.
-                if pivot + 1 < len(cursors):
-                    border = min(border, cursors[pivot + 1][0])
-                self._advance(cursors[: pivot + 1], max(border, target + 1), end)
-                continue
-            if cursors[0][0] == target:
-                score = sum(self.impacts[t][at] for doc, at, t in cursors[: pivot + 1] if doc == target)
-                if score >= threshold:
-                    found.append((target, score))
-                self._advance(cursors[: pivot + 1], target + 1, end)
-            else:
-                self._advance([c for c in cursors[:pivot] if c[0] < target], target, end)
-
-    def _advance(self, cursors: list[list[int]], to: int, end: int) -> None:
-        for c in cursors:
-            c[1] = bisect_left(self.docs[c[2]], to, c[1])
-            c[0] = self.docs[c[2]][c[1]] if c[1] < len(self.docs[c[2]]) else end
+    def search(self, terms: list[int] | np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """All items whose score reaches the threshold. Blocks whose maxima don't reach it together are never opened."""
+        t = np.asarray(terms, np.int64)
+        blocks = _ranges(self.blocks_from[t], self.blocks_from[t + 1])
+        own = self.block[blocks]
+        bound = np.bincount(own, self.most[blocks])
+        blocks = blocks[bound[own] >= threshold - 1e-9]
+        if not len(blocks):
+            return []
+        at = _ranges(self.block_from[blocks], self.block_from[blocks + 1])
+        score = np.bincount(self.item[at], self.impact[at])
+        found = np.flatnonzero(score >= threshold)
+        return list(zip(found.tolist(), score[found].tolist()))
 
     def candidates(self, pairs: np.ndarray, threshold: float, passage: int = PASSAGE, step: int = STEP) -> dict[int, float]:
         """Items retrieved by any passage of the document, with the best score."""
@@ -145,24 +145,40 @@ class Index:
         hits = np.flatnonzero(pairs >= 0)
         if not len(hits):
             return best
+        # What the whole document doesn't retrieve, none of its passages does.
+        if len(pairs) > passage and not self.search(np.unique(pairs[hits]), threshold):
+            return best
         for start in range(0, max(len(pairs) - (passage - step), 1), step):
             a, b = np.searchsorted(hits, (start, start + passage))
-            if a == b:
-                continue
-            terms = np.unique(pairs[hits[a:b]])
-            if self.most[terms].sum() >= threshold:
-                for i, s in self.search(terms.tolist(), threshold):
+            if a < b:
+                for i, s in self.search(np.unique(pairs[hits[a:b]]), threshold):
                     best[i] = max(best.get(i, 0.0), s)
         return best
 
+    def reachable(self, items: list[int], pairs: np.ndarray, coverage: float) -> list[int]:
+        """The items of which two stretches can cover enough: no chain gains more than one through all pairs that the document holds."""
+        if not items:
+            return []
+        held = np.zeros(len(self.keys), bool)
+        held[pairs[pairs >= 0]] = True
+        out = []
+        for i in items:
+            apart = np.diff(np.flatnonzero(held[self.terms[i]]))
+            if 3 + np.where(apart <= 3, apart, 2).sum() >= coverage * self.length[i]:
+                out.append(i)
+        return out
+
     def stretches(self, item: int, pairs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Chains of shared pairs as (words covered, item from, item to, document from, document to), best first.
 
         Neighbouring matches lie at most GAP words apart on either side. All words between matches that
         differ by one changed or missing word count as covered.
         """
-        place = self.places[item]
-        anchors = [(int(p), q) for p in np.flatnonzero(pairs >= 0) for q in place.get(int(self.keys[pairs[p]]), ())]
+        places = self.places[item]
+        terms = self.terms[item][places]
+        at = np.flatnonzero(pairs >= 0)
+        left, right = np.searchsorted(terms, pairs[at]), np.searchsorted(terms, pairs[at], "right")
+        anchors = list(zip(np.repeat(at, right - left).tolist(), places[_ranges(left, right)].tolist()))
         best: list[tuple[int, int, int, int]] = []
         low = 0
         for k, (p, q) in enumerate(anchors):
@@ -193,7 +209,7 @@ class Index:
 
     def verify(self, item: int, pairs: np.ndarray) -> tuple[float, int]:
         """The share of the item's words in the best one or two stretches, and their number."""
-        n = max(len(self.items[item]), 1)
+        n = max(self.length[item], 1)
         found = self.stretches(item, pairs)
         if not found:
             return 0.0, 0
@@ -213,24 +229,35 @@ class Index:
         return share, bool(answer) and f" {answer} " in f" {' '.join(tokens)} "
 
 
-def _match(docs: DataFrame, index: Index, coverage: float, retrieve: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def _tokenized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        texts = [words(p) for p in b["passage"]]
+        yield b.assign(size=[len(t) for t in texts], pairs=[sorted({f"{x} {y}" for x, y in zip(t, t[1:])}) for t in texts])
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc"], batch["text"]):
-                tokens = words(text)
-                pairs = own.pairs_of(tokens)
-                for item, score in own.candidates(pairs, retrieve).items():
-                    share, parts = own.verify(item, pairs)
-                    if share >= coverage:
-                        rows.append((own.ids[item], doc, score, share, parts, *own.overlaps(item, tokens)))
-            yield pd.DataFrame(rows, columns=["item", "doc", "bm25", "coverage", "stretches", "question_overlap", "has_answer"])
 
-    item, doc = index.kind, docs.schema["doc"].dataType.simpleString()
-    return docs.mapInPandas(match, f"item {item}, doc {doc}, bm25 double, coverage double, stretches int, question_overlap double, has_answer boolean")
+def shards(items: DataFrame, block_items: int) -> DataFrame:
+    """(shard, index) of the items (item, passage, question, answer): pickled parts of one index over all of them."""
+    scratch = Scratch(items.sparkSession)
+    kind = items.schema["item"].dataType.simpleString()
+    rows = items.withColumn("row", F.monotonically_increasing_id())
+    rows = scratch.cut(rows.mapInPandas(_tokenized, f"item {kind}, passage string, question string, answer string, row long, size long, pairs array<string>"), "items")
+    said = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.avg(F.greatest(F.col("size") - 1, F.lit(0))).alias("mean")).first()
+    count, mean = said.n, said.mean or 1.0
+    parts = max(1, -(-count // block_items), -(-(said.words or 0) // BLOCK_WORDS))
+    flat = scratch.cut(rows.select("row", F.explode("pairs").alias("pair")), "flat")
+    seen = lookup_join(flat, flat.groupBy("pair").agg(F.count(F.lit(1)).alias("f")), "pair", "inner").groupBy("row").agg(F.collect_list("pair").alias("pair"), F.collect_list("f").alias("f"))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("row")
+        frequency: dict[str, int] = {}
+        for pairs, f in zip(group["pair"], group["f"]):
+            if pairs is not None:
+                frequency.update(zip(pairs, f))
+        index = Index(list(group[["item", "passage", "question", "answer"]].itertuples(index=False, name=None)), frequency, count, mean)
+        return pd.DataFrame({"shard": group["shard"].iloc[:1], "index": [pickle.dumps(index)]})
+
+    keyed = rows.drop("pairs", "size").join(seen, "row", "left").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    return scratch.cut(keyed.groupBy("shard").applyInPandas(build, "shard int, index binary"), "index")
 
 
 def find_leaks(
@@ -239,34 +266,39 @@ def find_leaks(
 ) -> DataFrame:
     """(<item_id>, <doc_id>, bm25, coverage, stretches, question_overlap, has_answer): each leaked item of each document once.
 
-    Documents are only mapped, each whole; the items are read in blocks of ``block_items`` in the order of
-    their ids, each block a pass. Rows with a null id, text or passage, and passages of less than two words, give
-    nothing. Repeated document ids are merged (the largest values are kept); repeated item ids count as they
-    come and are merged likewise. An empty side gives an empty result. Other columns are ignored.
+    Documents are only mapped, each whole, in one scan; every task goes through the shards of the index one by
+    one, each of about ``block_items`` items at most. Rows with a null id, text or passage, and passages of less
+    than two words, give nothing. Repeated document ids are merged (the largest values are kept); repeated item ids
+    count as they come and are merged likewise. An empty side gives an empty result. Other columns are ignored.
     """
     chosen = docs.select(F.col(doc_id).alias("doc"), F.col(text_col).alias("text")).filter("doc is not null and length(text) > 0")
     named = items.select(F.col(item_id).alias("item"), *[F.col(c).alias(a) for c, a in ((passage_col, "passage"), (question_col, "question"), (answer_col, "answer"))])
     named = named.filter("item is not null and passage is not null")
-    parts, block = [], []
-
-    def close() -> None:
-        if block:
-            index = Index([tuple(r) for r in block])
-            index.kind = named.schema["item"].dataType.simpleString()
-            parts.append(_match(chosen, index, coverage, retrieve))
-            block.clear()
-
-    for row in named.orderBy("item", "passage").toLocalIterator():
-        block.append(row)
-        if len(block) == block_items:
-            close()
-    close()
-    if not parts:
-        empty = Index([])
-        empty.kind = named.schema["item"].dataType.simpleString()
-        parts.append(_match(chosen.limit(0), empty, coverage, retrieve))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    # One shard at a time passes through the driver; a broadcast's bytes lie on disk.
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(bytes(r["index"])) for r in shards(named, block_items).select("index").toLocalIterator()]
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[int, Index] = {}
+        for batch in batches:
+            rows = []
+            for k, part in enumerate(shared):
+                own = kept.get(k) or pickle.loads(part.value)
+                if len(shared) == 1:
+                    kept[k] = own
+                else:
+                    part.__dict__.pop("_value", None)  # a task holds one shard at a time
+                for doc, text in zip(batch["doc"], batch["text"]):
+                    tokens = words(text)
+                    pairs = own.pairs_of(tokens)
+                    found = own.candidates(pairs, retrieve)
+                    for item in own.reachable(list(found), pairs, coverage):
+                        share, stretches = own.verify(item, pairs)
+                        if share >= coverage:
+                            rows.append((own.ids[item], doc, found[item], share, stretches, *own.overlaps(item, tokens)))
+            yield pd.DataFrame(rows, columns=["item", "doc", "bm25", "coverage", "stretches", "question_overlap", "has_answer"])
+
+    item, doc = named.schema["item"].dataType.simpleString(), chosen.schema["doc"].dataType.simpleString()
+    found = chosen.mapInPandas(match, f"item {item}, doc {doc}, bm25 double, coverage double, stretches int, question_overlap double, has_answer boolean")
     best = found.groupBy("item", "doc").agg(*[F.max(c).alias(c) for c in ("bm25", "coverage", "stretches", "question_overlap", "has_answer")])
     return best.withColumnRenamed("item", item_id).withColumnRenamed("doc", doc_id)

@@ -92,3 +92,31 @@ def test_items_longer_than_passages_are_retrieved():
     at = {int(k): n for n, k in enumerate(index.keys)}
     pairs = np.array([at.get(a * size + b, -1) if a >= 0 and b >= 0 else -1 for a, b in zip(numbers, numbers[1:])])
     assert 0 in index.candidates(pairs, 0.08)
+
+
+def test_reachable_keeps_all_that_verify_finds():
+    items, docs, _ = fixture(5)
+    index = Index(items)
+    for _, text in docs[:80]:
+        pairs = index.pairs_of(words(text))
+        found = list(index.candidates(pairs, 0.02))
+        kept = set(index.reachable(found, pairs, 0.4))
+        assert {i for i in found if index.verify(i, pairs)[0] >= 0.4} <= kept
+
+
+def test_long_items_whole_and_in_part(spark):
+    rng = random.Random(9)
+    unlike = lambda n, k: " ".join(f"{rng.choice(VOCABULARY)}{(k * 7919 + j) % 977}" for j in range(n))
+    items = [(k, unlike(n, k), "", "") for k, n in enumerate((100, 900, 3300, 8000, 20_000))]
+    docs, truth = [], set()
+    for i, passage, _, _ in items:
+        w = passage.split()
+        n = len(w)
+        forms = [w, w[: int(n * 0.45)], w[: int(n * 0.25)] + unlike(400, 50).split() + w[int(n * 0.6) : int(n * 0.85)], w[: int(n * 0.2)]]
+        for j, form in enumerate(forms):
+            d = 1000 + 10 * i + j
+            docs.append((d, f"{unlike(60, 60)} {' '.join(form)} {unlike(60, 61)}"))
+            if j < 3:
+                truth.add((i, d))
+    got = {(r.item_id, r.doc_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string, question string, answer string")).collect()}
+    assert got == truth
