@@ -7,16 +7,19 @@ of an entity's runs in a shard is its compressed run bitmap: an array of disjoin
 and clear runs are read from the bitmaps, and stitched at the shards' borders through one row a shard.
 
 No task ever holds an entity's rows: runs are combined by (entity, shard, first unit) before the shuffle, so
-a group holds at most ``shard_units`` rows, and the stitching holds a few rows for each shard of the entity.
+a group holds at most ``shard_units`` rows. The stitching sees one row (first and last unit) for each shard, in two
+levels: within blocks of shards, and over one row for each block. The bitmaps themselves stay where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: 2^20 ms are about 17 minutes.
-SHARD_UNITS = 1 << 20
+from ledgerlens.runtime import Scratch
+
+#: 2^20 ms are about 17 minutes; a block of shards is about eight days.
+SHARD_UNITS, BLOCK_SHARDS = 1 << 20, 700
 
 
 def to_units(df: DataFrame, entity: str, start: str, end: str, per_unit: float = 1000.0) -> DataFrame:
@@ -55,48 +58,64 @@ def run_bitmaps(units: DataFrame, shard_units: int = SHARD_UNITS) -> tuple[DataF
         .groupBy("entity", "lo")
         .agg(F.max("hi").alias("hi"))
     )
-    longest = pieces.groupBy("entity", "shard", "s").agg(F.max("e").alias("e"))
+    return union_runs(pieces.select("entity", "shard", F.array(F.struct("s", "e")).alias("runs"))), full
+
+
+def union_bitmaps(a: DataFrame, b: DataFrame) -> tuple[DataFrame, None]:
+    """The union of two frames of bitmaps over the same shards, for incremental loads; it has no full runs of its own."""
+    return union_runs(a.unionByName(b)), None
+
+
+def union_runs(parts: DataFrame) -> DataFrame:
+    """(entity, shard, runs): the union of all bitmaps of a shard, be they of single intervals or unions themselves."""
+    rows = parts.select("entity", "shard", F.explode("runs").alias("r")).select("entity", "shard", "r.s", "r.e")
+    longest = rows.groupBy("entity", "shard", "s").agg(F.max("e").alias("e"))
     w = Window.partitionBy("entity", "shard").orderBy("s")
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = longest.withColumn("new", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0))
-    runs = (
-        marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("entity", "shard", "run")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    )
-    maps = runs.groupBy("entity", "shard").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
-    return maps, full
+    runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("entity", "shard", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return runs.groupBy("entity", "shard").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
+
+
+def _reach(rows: DataFrame, value: str, order: list[Column], name: str) -> DataFrame:
+    """``name``: the largest ``value`` of the entity's rows before each, by windows of one block and of one row for each block."""
+    before = F.max(value).over(Window.partitionBy("entity", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy("entity", "block").agg(F.max(value).alias("_m"))
+    earlier = F.max("_m").over(Window.partitionBy("entity").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_in", before).join(blocks.select("entity", "block", earlier.alias("_before")), ["entity", "block"]).withColumn(name, F.greatest("_in", "_before")).drop("_in", "_before")
 
 
-def union_bitmaps(a: DataFrame, b: DataFrame, shard_units: int = SHARD_UNITS) -> tuple[DataFrame, DataFrame]:
-    """The union of two frames of bitmaps over the same shards: for incremental loads."""
-    back = [x.select("entity", F.explode("runs").alias("r")).select("entity", "r.s", "r.e") for x in (a, b)]
-    return run_bitmaps(back[0].unionByName(back[1]), shard_units)
+def _next(rows: DataFrame, value: str, order: str, name: str) -> DataFrame:
+    """``name``: ``value`` of the entity's row after each in the given order, likewise in two levels."""
+    after = F.lead(value).over(Window.partitionBy("entity", "block").orderBy(order))
+    blocks = rows.groupBy("entity", "block").agg(F.min_by(value, order).alias("_f"))
+    later = F.lead("_f").over(Window.partitionBy("entity").orderBy("block"))
+    return rows.withColumn("_in", after).join(blocks.select("entity", "block", later.alias("_later")), ["entity", "block"]).withColumn(name, F.coalesce("_in", "_later")).drop("_in", "_later")
 
 
-def stitch(maps: DataFrame, full: DataFrame) -> DataFrame:
+def stitch(maps: DataFrame, full: DataFrame, shard_units: int = SHARD_UNITS, block_shards: int = BLOCK_SHARDS) -> DataFrame:
     """Rows (entity, s, e, prev_end, next_start) of set runs, cut only at shards' borders.
 
     ``prev_end`` and ``next_start`` are those of the entity's neighbouring runs; runs inside a full run are gone.
     """
-    shards = maps.select("entity", F.col("runs")[0]["s"].alias("lo"), F.element_at("runs", -1)["e"].alias("hi"), "runs")
-    rows = shards.unionByName(full.select("entity", "lo", "hi", F.lit(None).cast(maps.schema["runs"].dataType).alias("runs")))
-    # At equal starts the longer comes first, so what it holds is seen to lie inside it.
-    w = Window.partitionBy("entity").orderBy(F.col("lo"), F.col("hi").desc())
-    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    kept = rows.withColumn("reach", before).filter(F.col("reach").isNull() | (F.col("hi") > F.col("reach")))
+    ends = maps.select("entity", "shard", F.col("runs")[0]["s"].alias("lo"), F.element_at("runs", -1)["e"].alias("hi"))
+    rows = ends.unionByName(full.select("entity", F.lit(None).cast("long").alias("shard"), "lo", "hi"))
+    rows = rows.withColumn("block", F.floor(F.col("lo") / (shard_units * block_shards)).cast("long"))
+    # At equal starts the longer comes first, and a full run before a shard with the same ends, so what it holds is seen to lie inside it.
+    kept = _reach(rows, "hi", [F.col("lo"), F.col("hi").desc(), F.col("shard").asc_nulls_first()], "reach").filter(F.col("reach").isNull() | (F.col("hi") > F.col("reach")))
     # Full runs may overlap one another: each keeps only what lies beyond the ones before.
-    kept = kept.withColumn("lo", F.when(F.col("runs").isNull(), F.greatest("lo", F.coalesce("reach", "lo"))).otherwise(F.col("lo")))
-    kept = kept.withColumn("after", F.lead("lo").over(Window.partitionBy("entity").orderBy("lo")))
-    runs = F.coalesce(F.col("runs"), F.array(F.struct(F.col("lo").alias("s"), F.col("hi").alias("e"))))
-    flat = kept.withColumn("runs", runs).select("entity", "reach", "after", "runs", F.posexplode("runs").alias("i", "r"))
+    kept = kept.withColumn("lo", F.when(F.col("shard").isNull(), F.greatest("lo", F.coalesce("reach", "lo"))).otherwise(F.col("lo")))
+    kept = _next(kept.withColumn("block", F.floor(F.col("lo") / (shard_units * block_shards)).cast("long")), "lo", "lo", "after")
+    whole = kept.filter("shard is null").select("entity", F.col("lo").alias("s"), F.col("hi").alias("e"), F.col("reach").alias("prev_end"), F.col("after").alias("next_start"))
+    inside = maps.join(kept.filter("shard is not null").select("entity", "shard", "reach", "after"), ["entity", "shard"])
+    flat = inside.select("entity", "reach", "after", "runs", F.posexplode("runs").alias("i", "r"))
     prev_end = F.when(F.col("i") == 0, F.col("reach")).otherwise(F.try_element_at("runs", F.col("i"))["e"])
     next_start = F.when(F.col("i") == F.size("runs") - 1, F.col("after")).otherwise(F.try_element_at("runs", F.col("i") + 2)["s"])
-    return flat.select("entity", F.col("r.s").alias("s"), F.col("r.e").alias("e"), prev_end.alias("prev_end"), next_start.alias("next_start"))
+    return whole.unionByName(flat.select("entity", F.col("r.s").alias("s"), F.col("r.e").alias("e"), prev_end.alias("prev_end"), next_start.alias("next_start")))
 
 
 def periods_and_gaps(
-    df: DataFrame, entity: str = "source_file_id", start: str = "start_time", end: str = "end_time", per_unit: float = 1000.0, shard_units: int = SHARD_UNITS
+    df: DataFrame, entity: str = "source_file_id", start: str = "start_time", end: str = "end_time", per_unit: float = 1000.0, shard_units: int = SHARD_UNITS, block_shards: int = BLOCK_SHARDS
 ) -> DataFrame:
     """The maximal covered periods of each entity and the gaps between them.
 
@@ -106,13 +125,13 @@ def periods_and_gaps(
     ties change nothing, as a union doesn't count. See to_units() for the rows that don't count.
     """
     maps, full = run_bitmaps(to_units(df, entity, start, end, per_unit), shard_units)
-    runs = stitch(maps, full)
+    runs = stitch(Scratch(df.sparkSession).cut(maps, "bitmaps"), full, shard_units, block_shards)
     begins = F.col("prev_end").isNull() | (F.col("s") > F.col("prev_end"))
     ends = F.col("next_start").isNull() | (F.col("next_start") > F.col("e"))
     edges = runs.withColumn("begins", begins).withColumn("ends", ends).filter(F.col("begins") | F.col("ends"))
     # A period cut at borders has one run that begins it and one that ends it: the next in order.
-    open_w = Window.partitionBy("entity").orderBy("s")
-    halves = edges.filter(F.col("begins") != F.col("ends")).withColumn("close", F.lead("e").over(open_w)).filter("begins")
+    open_ = edges.filter(F.col("begins") != F.col("ends")).withColumn("block", F.floor(F.col("s") / (shard_units * block_shards)).cast("long"))
+    halves = _next(open_, "e", "s", "close").filter("begins").drop("block")
     whole = edges.filter(F.col("begins") & F.col("ends")).withColumn("close", F.col("e"))
     periods = whole.unionByName(halves)
     gap = F.struct(F.lit("gap").alias("period_kind"), F.col("prev_end").alias("start_ms"), F.col("s").alias("end_ms"))

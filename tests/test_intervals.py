@@ -65,3 +65,15 @@ def test_stitched_runs_know_their_neighbours(spark):
     units = to_units(spark.createDataFrame([("f", 0.0, 0.003), ("f", 0.005, 0.02)], SCHEMA), "source_file_id", "start_time", "end_time")
     rows = sorted(tuple(r) for r in stitch(*run_bitmaps(units, 8)).collect())
     assert rows[0] == ("f", 0, 3, None, 5) and rows[-1][4] is None
+
+
+def test_blocks_of_shards(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(600):
+        a = rng.randint(-100, 900) / 1000
+        rows.append((rng.choice("ab"), a, a + rng.choice([1, 2, 3, 5, 30, 90]) / 1000))
+    rows += [("full", 0.001, 0.7), ("full", 0.1, 0.9), ("full", 1.5, 1.6)]
+    for shard, block in ((4, 1), (4, 3), (16, 2)):
+        got = sorted(tuple(r) for r in periods_and_gaps(spark.createDataFrame(rows, SCHEMA), shard_units=shard, block_shards=block).collect())
+        assert got == brute(rows)
