@@ -497,12 +497,12 @@ def find_noise(df: DataFrame, id_col: str = "id", file_col: str = "source_file_i
     return body.select("page", "kind", "line_no").unionByName(apart).select(F.col("page").alias(id_col), F.col("kind").alias("noise_kind"), "line_no").distinct()
 
 
-def repair_pages(df: DataFrame, id_col: str = "id", file_col: str = "source_file_id", page_col: str = "page_number", text_col: str = "text_content") -> DataFrame:
+def repair_pages(df: DataFrame, id_col: str = "id", file_col: str = "source_file_id", page_col: str = "page_number", text_col: str = "text_content", lexicon: Lexicon | None = None) -> DataFrame:
     """(<id_col>, paragraph_no from 1, paragraph): the continuous text of each page without headers and numbers.
 
     See find_noise() for the rows that don't count; of a repeated id the smallest text is taken.
     """
-    lexicon = build_lexicon(df, text_col)
+    lexicon = build_lexicon(df, text_col) if lexicon is None else lexicon
     noise = find_noise(df, id_col, file_col, page_col, text_col, lexicon)
     drop = noise.filter(F.col("noise_kind").isin("running_header", "page_number")).groupBy(F.col(id_col).alias("page")).agg(F.collect_set("line_no").alias("dropped"))
     pages = df.select(F.col(id_col).alias("page"), F.col(text_col).alias("text")).filter("page is not null and length(text) > 0").groupBy("page").agg(F.min("text").alias("text"))

@@ -106,7 +106,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("p7_paragraphs")
 def p7_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return repair_pages(table(spark, folder, "evidence_node").filter("node_type = 'page'")).withColumnRenamed("id", "node_id")
+    nodes = table(spark, folder, "evidence_node")
+    return repair_pages(nodes.filter("node_type = 'page'"), lexicon=build_lexicon(nodes)).withColumnRenamed("id", "node_id")
 
 
 @query("p4_found")
