@@ -1,11 +1,12 @@
 """Variant spellings of person and organisation names: weighted n-gram vectors, a sparse cosine join, average linkage.
 
-Within one scope (case and entity type) equal cleaned names form classes. A class has a vector of character
-3-grams (and, for organisations, of its initials), weighted by inverse document frequency over all names of its
-type. Pairs of classes whose cosine can reach the threshold are found by a prefix filter: the rarest grams of
-each vector, up to where the rest's norm falls below the threshold, must share one. Long lists of a
-gram are joined in chunks. Pairs are compared by their cosine and by their aligned words: initials, nicknames, changed
-order, typing errors. Links form components, which average linkage cuts into groups.
+Within one scope (case and entity type) equal cleaned names form classes. A class has a vector of character n-grams of
+its words (2, 3 and gapped 2) and, for organisations, of its initials, weighted by inverse document frequency over all
+names of its type. Pairs of classes whose cosine can reach the threshold are found by a prefix filter: the rarest grams
+of each vector, up to where the rest's norm falls below the threshold, must share one. Long lists of a gram are joined
+in chunks. All pairs that reach the threshold are links, however many a name has (a top-n without an n that loses
+some), weighted by their cosine; a check of the words, one by one, takes away those that say that the names differ
+(a suffix, an initial, another trade). Links form components, which average linkage over the cosines cuts into groups.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.components import star_forest
 from ledgerlens.runtime import Scratch, lookup_join
 
-#: Cosine from which two names are compared, similarity from which they are linked, average from which groups merge.
-COSINE, LINK, GROUP = 0.3, 0.6, 0.5
+#: Cosine from which two names are linked, alikeness of their words that a link must have, average cosine from which groups merge.
+COSINE, ALIKE, GROUP = 0.3, 0.5, 0.35
+#: Weight of a firm's initials beside all its grams.
+SHORT = 0.6
 #: Names, or share of all, that hold what parts a word from a like one if the word was typed on purpose.
 COMMON, COMMON_SHARE = 4, 1e-3
 #: Times that the one word's grams may be rarer than the other's if both were.
@@ -123,7 +126,7 @@ def parse_firm(name: str) -> tuple[list[str], str, str]:
 
 
 def describe(kind: str, name: str) -> tuple[str, list[str]]:
-    """The class key of a name and its features: 3-grams of its words, the initials of a firm, the words."""
+    """The class key of a name and its features: n-grams of its words, the initials of a firm, the words."""
     if kind == "person":
         full, initials, suffix, particles = parse_person(name)
         words = full + initials
@@ -138,7 +141,7 @@ def describe(kind: str, name: str) -> tuple[str, list[str]]:
             return "", []
         first = "".join(w[0] for w in words)
         extra = [f"={short}"] if short else [f"={first}", f"={first}{legal[0]}"] if legal and words else [f"={first}"]
-    grams = {f"_{w}_"[i : i + 3] for w in words for i in range(len(w))}
+    grams = {f"_{w}_"[i : i + n] for w in words for n in (2, 3) for i in range(len(w) + 3 - n)} | {f"{a}*{b}" for w in words for a, b in zip(f"_{w}", f"{w}_"[1:])}
     # Whole words are counted beside the grams, but are no part of the vectors.
     return key, sorted(grams) + [e for e in extra if len(e) > 2] + sorted({f"#{w}" for w in words if len(w) > 1})
 
@@ -163,12 +166,13 @@ def edits(a: str, b: str) -> int:
 
 
 class Name:
-    """A parsed class with the frequencies of its grams."""
+    """A parsed class with its vector and the frequencies of its grams among ``names`` names."""
 
-    def __init__(self, kind: str, key: str, frequency: dict[str, int], common: float):
+    def __init__(self, kind: str, key: str, frequency: dict[str, int], names: int):
         self.kind = kind
         self.frequency = frequency
-        self.common = common
+        self.common = max(COMMON, COMMON_SHARE * names)
+        self.vector = weights(list(frequency), list(frequency.values()), names)
         parts = key.split("|")
         if kind == "person":
             self.words, self.initials, self.suffix, self.particles = parts[0].split(), parts[1].split(), parts[2], parts[3]
@@ -214,18 +218,56 @@ def _align(a: list[str], b: list[str], x: Name, y: Name) -> tuple[list[tuple[int
             if total > best:
                 best, at = total, order
         return [(i, j, table[i][j]) for i, j in enumerate(at) if table[i][j] > 0], best
-    pairs = sorted(((s, i, j) for i, row in enumerate(table) for j, s in enumerate(row) if s > 0), key=lambda p: (-p[0], p[1], p[2]))
-    used_a, used_b, out = set(), set(), []
-    for s, i, j in pairs:
-        if i not in used_a and j not in used_b:
-            used_a.add(i)
-            used_b.add(j)
-            out.append((i, j, s))
-    return out, sum(s for _, _, s in out)
+    at = _assign([[-v for v in row] for row in table])
+    return [(i, j, table[i][j]) for i, j in enumerate(at) if table[i][j] > 0], sum(table[i][j] for i, j in enumerate(at))
+
+
+def _assign(cost: list[list[float]]) -> list[int]:
+    """The column of each row, each used once, with the least sum of costs (shortest augmenting paths); rows aren't more than columns."""
+    n, m = len(cost), len(cost[0])
+    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], col = i, 0
+        least, before, used = [math.inf] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while owner[col]:
+            used[col], row, step, to = True, owner[col], math.inf, 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    d = cost[row - 1][j - 1] - u[row] - v[j]
+                    if d < least[j]:
+                        least[j], before[j] = d, col
+                    if least[j] < step:
+                        step, to = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            col = to
+        while col:
+            owner[col] = owner[before[col]]
+            col = before[col]
+    at = [0] * n
+    for j in range(1, m + 1):
+        if owner[j]:
+            at[owner[j] - 1] = j - 1
+    return at
+
+
+def cosine(x: Name, y: Name) -> float:
+    a, b = (x.vector, y.vector) if len(x.vector) <= len(y.vector) else (y.vector, x.vector)
+    return sum(w * b[g] for g, w in a.items() if g in b)
+
+
+def link(x: Name, y: Name) -> float:
+    """The cosine of two names where it reaches COSINE and nothing in their words says that they differ; else 0."""
+    c = cosine(x, y)
+    return c if c >= COSINE and similarity(x, y) >= ALIKE else 0.0
 
 
 def similarity(x: Name, y: Name) -> float:
-    """How alike two names are; 0 where something in them says that they differ."""
+    """How alike the words of two names are, one by one; 0 where something in them says that they differ."""
     if x.kind == "person":
         if x.suffix != y.suffix and x.suffix and y.suffix:
             return 0.0
@@ -328,9 +370,14 @@ def _describe_all(rows: DataFrame) -> DataFrame:
 
 
 def weights(grams: list[str], freq: list[int], names: int) -> dict[str, float]:
-    """Inverse document frequency of the grams of a vector."""
+    """The unit vector of a name: inverse document frequencies of its grams; initials that may stand for a firm's whole name weigh as much as all its grams."""
     floor = max(FLOOR, FLOOR_SHARE * names)
-    return {g: math.log(1 + names / max(f, floor)) for g, f in zip(grams, freq) if g[0] != "#"}
+    plain = {g: math.log(1 + names / max(f, floor)) for g, f in zip(grams, freq) if g[0] not in "#="}
+    size = math.sqrt(sum(w * w for w in plain.values())) or 1.0
+    short = [g for g in grams if g[0] == "="]
+    both = {g: w / size for g, w in plain.items()} | dict.fromkeys(short, SHORT)
+    norm = math.sqrt(sum(w * w for w in both.values())) or 1.0
+    return {g: w / norm for g, w in both.items()}
 
 
 def _prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -368,22 +415,15 @@ def _pairs(prefixes: DataFrame, scratch: Scratch, chunk: int) -> DataFrame:
 
 
 def _score(a: pd.DataFrame, b: pd.DataFrame) -> list[float]:
-    out, cache = [], {}
+    cache: dict[tuple[str, str], Name] = {}
 
-    def name(r, common: float) -> Name:
+    def name(r) -> Name:
         k = (r.kind, r.key)
         if k not in cache:
-            cache[k] = Name(r.kind, r.key, dict(zip(r.grams, r.freq)), common)
+            cache[k] = Name(r.kind, r.key, dict(zip(r.grams, r.freq)), r.names)
         return cache[k]
 
-    for x, y in zip(a.itertuples(index=False), b.itertuples(index=False)):
-        own, other = weights(x.grams, x.freq, x.names), weights(y.grams, y.freq, y.names)
-        dot = sum(w * other[g] for g, w in own.items() if g in other)
-        cosine = dot / math.sqrt(max(sum(w * w for w in own.values()) * sum(w * w for w in other.values()), 1e-12))
-        common = max(COMMON, COMMON_SHARE * x.names)
-        x_name, y_name = name(x, common), name(y, common)
-        out.append(similarity(x_name, y_name) if cosine >= COSINE or (x.kind != "person" and (x_name.weak or y_name.weak)) else 0.0)
-    return out
+    return [link(name(x), name(y)) for x, y in zip(a.itertuples(index=False), b.itertuples(index=False))]
 
 
 def variant_groups(
@@ -416,7 +456,7 @@ def variant_groups(
     side = F.struct("kind", "key", "grams", "freq", "names")
     score = F.pandas_udf(lambda a, b: pd.Series(_score(a, b), dtype="float64"), "double")
     first = scratch.cut(lookup_join(pairs, vectors.select(F.col("n").alias("hi"), side.alias("x")), "hi", "inner"), "half")
-    scored = lookup_join(first, vectors.select(F.col("n").alias("lo"), side.alias("y")), "lo", "inner").select("hi", "lo", score("x", "y").alias("s")).filter(F.col("s") >= LINK)
+    scored = lookup_join(first, vectors.select(F.col("n").alias("lo"), side.alias("y")), "lo", "inner").select("hi", "lo", score("x", "y").alias("s")).filter(F.col("s") >= COSINE)
     links = scratch.cut(scored, "links")
     for t in (first, pairs, grams):
         scratch.drop(t)
@@ -436,7 +476,7 @@ def _components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
 
 def _names_of(rows: pd.DataFrame) -> list[Name]:
-    return [Name(r.kind, r.key, dict(zip(r.grams, r.freq)), max(COMMON, COMMON_SHARE * r.names)) for r in rows.itertuples()]
+    return [Name(r.kind, r.key, dict(zip(r.grams, r.freq)), r.names) for r in rows.itertuples()]
 
 
 def _group(scratch: Scratch, vectors: DataFrame, roots: DataFrame, all_pairs: int | None = None) -> DataFrame:
@@ -451,7 +491,7 @@ def _group(scratch: Scratch, vectors: DataFrame, roots: DataFrame, all_pairs: in
         s = np.zeros((len(own), len(own)))
         for i in range(len(own)):
             for j in range(i):
-                s[i, j] = s[j, i] = similarity(names[i], names[j])
+                s[i, j] = s[j, i] = link(names[i], names[j])
         group = average_linkage(s, np.array([x.weak for x in names]), GROUP)
         return pd.DataFrame({"n": own["n"], "g": own["n"].to_numpy()[group]})
 
@@ -472,7 +512,7 @@ def _group_large(scratch: Scratch, members: DataFrame) -> DataFrame:
         block = block.sort_values("n", ignore_index=True)
         names, n, of = _names_of(block), block["n"].tolist(), block["own"].tolist()
         # Of two unlike blocks only names of both meet: the others meet in their own.
-        rows = [(n[y], n[x], s, names[y].weak, names[x].weak) for x in range(len(n)) for y in range(x) if (i == j or of[x] != of[y]) and (s := similarity(names[x], names[y])) > 0]
+        rows = [(n[y], n[x], s, names[y].weak, names[x].weak) for x in range(len(n)) for y in range(x) if (i == j or of[x] != of[y]) and (s := link(names[x], names[y])) > 0]
         return pd.DataFrame(rows, columns=["a", "b", "s", "weak_a", "weak_b"]).astype({"a": "int64", "b": "int64", "s": "float64", "weak_a": bool, "weak_b": bool})
 
     pairs = scratch.cut(keyed.groupBy("root", "i", "j").applyInPandas(compare, "a long, b long, s double, weak_a boolean, weak_b boolean"), "alike")

@@ -101,3 +101,16 @@ def test_groups_dont_depend_on_size(spark, monkeypatch):
     monkeypatch.setattr(names, "ALL_PAIRS", 2)
     monkeypatch.setattr(names, "BLOCK", 3)
     assert groups(spark, rows) == small and len(set(small.values())) < len(rows) / 2
+
+
+def test_assignment_is_the_best_of_all():
+    from itertools import permutations
+
+    from ledgerlens.llm.names import _assign
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(1, 5))
+        cost = rng.integers(-9, 9, (n, int(rng.integers(n, 7)))).astype(float)
+        best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(cost.shape[1]), n))
+        assert sum(cost[i, j] for i, j in enumerate(_assign(cost.tolist()))) == best
