@@ -1,7 +1,7 @@
 """Variant spellings of person and organisation names: weighted n-gram vectors, a sparse cosine join, average linkage.
 
-Within one scope (case and entity type) equal cleaned names form classes. A class has a vector of character n-grams of
-its words (2, 3 and gapped 2) and, for organisations, of its initials, weighted by inverse document frequency over all
+Within one scope (case and entity type) equal cleaned names form classes. A class has a vector of character 3-grams of
+its words, of their sorted letters and consonants and, for organisations, of its initials, weighted by inverse document frequency over all
 names of its type. Pairs of classes whose cosine can reach the threshold are found by a prefix filter: the rarest grams
 of each vector, up to where the rest's norm falls below the threshold, must share one. Long lists of a gram are joined
 in chunks. All pairs that reach the threshold are links, however many a name has (a top-n without an n that loses
@@ -27,7 +27,7 @@ from ledgerlens.llm.components import star_forest
 from ledgerlens.runtime import Scratch, lookup_join
 
 #: Cosine from which two names are linked, alikeness of their words that a link must have, average cosine from which groups merge.
-COSINE, ALIKE, GROUP = 0.3, 0.5, 0.35
+COSINE, ALIKE, GROUP = 0.3, 0.5, 0.25
 #: Weight of a firm's initials beside all its grams.
 SHORT = 0.6
 #: Names, or share of all, that hold what parts a word from a like one if the word was typed on purpose.
@@ -141,7 +141,9 @@ def describe(kind: str, name: str) -> tuple[str, list[str]]:
             return "", []
         first = "".join(w[0] for w in words)
         extra = [f"={short}"] if short else [f"={first}", f"={first}{legal[0]}"] if legal and words else [f"={first}"]
-    grams = {f"_{w}_"[i : i + n] for w in words for n in (2, 3) for i in range(len(w) + 3 - n)} | {f"{a}*{b}" for w in words for a, b in zip(f"_{w}", f"{w}_"[1:])}
+    grams = {f"_{w}_"[i : i + 3] for w in words for i in range(len(w))}
+    # What swapped letters and lost or added vowels leave as it is.
+    grams |= {"~" + "".join(sorted(w)) for w in words if len(w) > 2} | {"^" + w[0] + re.sub("[aeiouy]", "", w[1:]) for w in words if len(w) > 2}
     # Whole words are counted beside the grams, but are no part of the vectors.
     return key, sorted(grams) + [e for e in extra if len(e) > 2] + sorted({f"#{w}" for w in words if len(w) > 1})
 
