@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Kinds of entities, what stands for no answer, and verdicts.
 ENTITY_KINDS = ["person", "weapon", "location", "phone", "vehicle", "organization", "object", "other"]
-NOTHING = ["none", "null", "n/a", "no claim", ""]
+NOTHING = ["none", "none.", "no claim", "n/a"]
 VERDICTS = ["contradicts", "corroborates", "unrelated"]
 MAX_NAME, MAX_WORDS = 60, 5
 
@@ -26,8 +26,9 @@ def entities(answer: Column) -> Column:
 
 
 def claim(answer: Column) -> Column:
+    """An answer in one line; null where it is empty or says that there is no claim."""
     s = F.trim(F.regexp_replace(answer, r"\s+", " "))
-    return F.when(~F.lower(F.rtrim(s, F.lit("."))).isin(NOTHING), s)
+    return F.when((s != "") & ~F.lower(s).isin(NOTHING), s)
 
 
 def verdict(answer: Column) -> Column:
@@ -38,6 +39,6 @@ def verdict(answer: Column) -> Column:
 
 
 def display_name(answer: Column) -> Column:
-    """A short name; null for quotes around nothing, for no answer and for whole sentences."""
-    s = F.trim(F.regexp_replace(F.trim(answer), r"^[\"']+|[\"'.]+$", ""))
-    return F.when(~F.lower(s).isin(NOTHING) & (F.length(s) <= MAX_NAME) & (F.size(F.split(s, r"\s+")) <= MAX_WORDS), s)
+    """A short name without quotes round it; null for no answer and for whole sentences."""
+    s = F.regexp_replace(F.trim(F.regexp_replace(answer, r"\s+", " ")), "^[\"']+|[\"']+$", "")
+    return F.when((s != "") & ~F.lower(s).isin(NOTHING) & (F.length(s) <= MAX_NAME) & (F.size(F.split(s, r"\s+")) <= MAX_WORDS), s)

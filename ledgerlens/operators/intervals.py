@@ -13,9 +13,10 @@ levels: within blocks of shards, and over one row for each block. The bitmaps th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ordered import following, running_max
 from ledgerlens.runtime import Scratch
 
 #: 2^20 ms are about 17 minutes; a block of shards is about eight days.
@@ -77,22 +78,6 @@ def union_runs(parts: DataFrame) -> DataFrame:
     return runs.groupBy("entity", "shard").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
 
 
-def _reach(rows: DataFrame, value: str, order: list[Column], name: str) -> DataFrame:
-    """``name``: the largest ``value`` of the entity's rows before each, by windows of one block and of one row for each block."""
-    before = F.max(value).over(Window.partitionBy("entity", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    blocks = rows.groupBy("entity", "block").agg(F.max(value).alias("_m"))
-    earlier = F.max("_m").over(Window.partitionBy("entity").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_in", before).join(blocks.select("entity", "block", earlier.alias("_before")), ["entity", "block"]).withColumn(name, F.greatest("_in", "_before")).drop("_in", "_before")
-
-
-def _next(rows: DataFrame, value: str, order: str, name: str) -> DataFrame:
-    """``name``: ``value`` of the entity's row after each in the given order, likewise in two levels."""
-    after = F.lead(value).over(Window.partitionBy("entity", "block").orderBy(order))
-    blocks = rows.groupBy("entity", "block").agg(F.min_by(value, order).alias("_f"))
-    later = F.lead("_f").over(Window.partitionBy("entity").orderBy("block"))
-    return rows.withColumn("_in", after).join(blocks.select("entity", "block", later.alias("_later")), ["entity", "block"]).withColumn(name, F.coalesce("_in", "_later")).drop("_in", "_later")
-
-
 def stitch(maps: DataFrame, full: DataFrame, shard_units: int = SHARD_UNITS, block_shards: int = BLOCK_SHARDS) -> DataFrame:
     """Rows (entity, s, e, prev_end, next_start) of set runs, cut only at shards' borders.
 
@@ -102,10 +87,10 @@ def stitch(maps: DataFrame, full: DataFrame, shard_units: int = SHARD_UNITS, blo
     rows = ends.unionByName(full.select("entity", F.lit(None).cast("long").alias("shard"), "lo", "hi"))
     rows = rows.withColumn("block", F.floor(F.col("lo") / (shard_units * block_shards)).cast("long"))
     # At equal starts the longer comes first, and a full run before a shard with the same ends, so what it holds is seen to lie inside it.
-    kept = _reach(rows, "hi", [F.col("lo"), F.col("hi").desc(), F.col("shard").asc_nulls_first()], "reach").filter(F.col("reach").isNull() | (F.col("hi") > F.col("reach")))
+    kept = running_max(rows, ["entity"], "block", [F.col("lo"), F.col("hi").desc(), F.col("shard").asc_nulls_first()], "hi", "reach").filter(F.col("reach").isNull() | (F.col("hi") > F.col("reach")))
     # Full runs may overlap one another: each keeps only what lies beyond the ones before.
     kept = kept.withColumn("lo", F.when(F.col("shard").isNull(), F.greatest("lo", F.coalesce("reach", "lo"))).otherwise(F.col("lo")))
-    kept = _next(kept.withColumn("block", F.floor(F.col("lo") / (shard_units * block_shards)).cast("long")), "lo", "lo", "after")
+    kept = following(kept.withColumn("block", F.floor(F.col("lo") / (shard_units * block_shards)).cast("long")), ["entity"], "block", F.col("lo"), "lo", "after")
     whole = kept.filter("shard is null").select("entity", F.col("lo").alias("s"), F.col("hi").alias("e"), F.col("reach").alias("prev_end"), F.col("after").alias("next_start"))
     inside = maps.join(kept.filter("shard is not null").select("entity", "shard", "reach", "after"), ["entity", "shard"])
     flat = inside.select("entity", "reach", "after", "runs", F.posexplode("runs").alias("i", "r"))
@@ -131,7 +116,7 @@ def periods_and_gaps(
     edges = runs.withColumn("begins", begins).withColumn("ends", ends).filter(F.col("begins") | F.col("ends"))
     # A period cut at borders has one run that begins it and one that ends it: the next in order.
     open_ = edges.filter(F.col("begins") != F.col("ends")).withColumn("block", F.floor(F.col("s") / (shard_units * block_shards)).cast("long"))
-    halves = _next(open_, "e", "s", "close").filter("begins").drop("block")
+    halves = following(open_, ["entity"], "block", F.col("s"), "e", "close").filter("begins").drop("block")
     whole = edges.filter(F.col("begins") & F.col("ends")).withColumn("close", F.col("e"))
     periods = whole.unionByName(halves)
     gap = F.struct(F.lit("gap").alias("period_kind"), F.col("prev_end").alias("start_ms"), F.col("s").alias("end_ms"))

@@ -20,6 +20,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old_on_null: bo
     return both.select(*keys, *[pick(c).alias(c) for c in rest])
 
 
+def insert_pairs(old: DataFrame, new: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    """Pairs put in the order of their ids and added where the table has none with the same ``keys`` (a and b among them); the first of equal new ones stays."""
+    ordered = new.withColumn("_a", F.least(a, b)).withColumn("_b", F.greatest(a, b)).drop(a, b).withColumnRenamed("_a", a).withColumnRenamed("_b", b)
+    return insert_absent(old, ordered.filter(F.col(a) != F.col(b)).select(*old.columns), keys)
+
+
+def counted_upsert(old: DataFrame, calls: DataFrame, keys: list[str], order: list[str], first: list[str], counter: str) -> DataFrame:
+    """Rows by key with ``counter`` raised by one for each call; of ``first`` the oldest values stay: the table's, else those of the first call with one."""
+    new = calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_{c}") for c in first])
+    both = old.join(new, keys, "full_outer")
+    kept = {c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in first}
+    kept[counter] = F.coalesce(counter, F.lit(0)) + F.coalesce("_n", F.lit(0))
+    return both.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in old.columns])
+
+
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys).distinct(), keys, "left_anti"))
 

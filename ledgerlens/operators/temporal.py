@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ordered import next_marked, running_max
+
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return F.least(a_end, b_end) - F.greatest(a_start, b_start)
@@ -37,12 +40,13 @@ def band_join(df: DataFrame, key: str, at: str, band: float, id_col: str) -> Dat
     return slots.join(b, same).filter(F.abs(F.col(at) - F.col(f"b_{at}")) <= band).drop("_slot", "b__slot")
 
 
-def asof_forward(targets: DataFrame, rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Each target (key, at) with the first row at or after it; targets without one are dropped."""
+def asof_forward(targets: DataFrame, rows: DataFrame, key: str, at: str, value: str, block: float = 3600.0) -> DataFrame:
+    """Each target (key, at) with the first row at or after it; targets without one are dropped. Windows span ``block`` of time, not a key."""
     both = targets.select(key, at, F.lit(None).cast(rows.schema[value].dataType).alias(value), F.lit(0).alias("_kind")).unionByName(rows.select(key, at, value, F.lit(1).alias("_kind")))
-    w = Window.partitionBy(key).orderBy(F.col(at), F.col("_kind"), F.col(value)).rowsBetween(0, Window.unboundedFollowing)
     row = F.when(F.col("_kind") == 1, F.struct(F.col(at).alias("found_at"), F.col(value).alias("found")))
-    return both.withColumn("_row", F.first(row, ignorenulls=True).over(w)).filter((F.col("_kind") == 0) & F.col("_row").isNotNull()).select(key, at, "_row.*")
+    cut = both.withColumn("_block", F.floor(F.col(at) / block)).withColumn("_mark", row)
+    found = next_marked(cut, [key], "_block", [F.col(at), F.col("_kind"), F.col(value)], "_mark", "_row")
+    return found.filter((F.col("_kind") == 0) & F.col("_row").isNotNull()).select(key, at, "_row.*")
 
 
 def fixed_windows(df: DataFrame, key: str, duration: str, width: float) -> DataFrame:
@@ -60,11 +64,27 @@ def windows_covered(df: DataFrame, keys: list[str], start: str, end: str, width:
     return df.filter(F.col(end) > F.col(start)).select(*keys, F.explode(F.sequence(first, last)).alias("window_no")).distinct()
 
 
-def moments(df: DataFrame, key: str, at: str, reach: float = 3.0) -> DataFrame:
-    """(<key>, moment_start, size): times grouped with the first of their group while within ``reach`` of it."""
-    times = df.groupBy(key).agg(F.sort_array(F.collect_list(at)).alias("ts"))
-    new = lambda t: F.array(F.struct(t.alias("moment_start"), F.lit(1).alias("size")))
-    grow = lambda acc: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["moment_start"].alias("moment_start"), (F.element_at(acc, -1)["size"] + 1).alias("size"))))
-    empty = F.expr("cast(array() as array<struct<moment_start:double,size:int>>)")
-    folded = F.aggregate("ts", empty, lambda acc, t: F.when(F.size(acc) == 0, new(t)).when(t - F.element_at(acc, -1)["moment_start"] <= reach, grow(acc)).otherwise(F.concat(acc, new(t))))
-    return times.select(key, F.explode(folded).alias("m")).select(key, "m.*")
+def moments(df: DataFrame, key: str, at: str, reach: float = 3.0, block: float = 3600.0) -> DataFrame:
+    """(<key>, moment_start, size): times grouped with the first of their group while within ``reach`` of it.
+
+    A time that is further than ``reach`` from the one before begins a group whatever came before, so the stretches between such
+    times are grouped one by one; of each only the distinct times and their counts are gathered.
+    """
+    times = df.filter(F.col(at).isNotNull()).groupBy(key, at).agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.floor(F.col(at) / block))
+    seen = running_max(times, [key], "_block", [F.col(at)], at, "_last")
+    opens = seen.withColumn("_open", F.when(F.col("_last").isNull() | (F.col(at) - F.col("_last") > reach), F.col(at)))
+    begun = running_max(opens, [key], "_block", [F.col(at)], "_open", "_before").withColumn("_stretch", F.coalesce("_open", "_before"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(at)
+        starts, sizes = [], []
+        for t, n in zip(group[at].tolist(), group["_n"].tolist()):
+            if starts and t - starts[-1] <= reach:
+                sizes[-1] += n
+            else:
+                starts.append(t)
+                sizes.append(n)
+        return pd.DataFrame({key: group[key].iat[0], "moment_start": starts, "size": sizes})
+
+    kind = df.schema[key].dataType.simpleString()
+    return begun.select(key, at, "_n", "_stretch").groupBy(key, "_stretch").applyInPandas(run, f"{key} {kind}, moment_start double, size int")

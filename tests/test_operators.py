@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -101,8 +102,19 @@ def test_media(spark, tmp_path):
     (tmp_path / "b.xyz").write_bytes(b"?")
     (tmp_path / ".hidden").mkdir()
     (tmp_path / ".hidden" / "c.pdf").write_bytes(b"%PDF")
-    rows = {r.file_name: (r.media_type, r.status, r.size_bytes) for r in scan_case_folder(spark, str(tmp_path)).collect()}
-    assert rows == {"a.pdf": ("pdf", "registered", 4), "b.xyz": (None, "skipped", 1)}
+    (tmp_path / "c.mp4").write_bytes(b"x" * 100)
+    (tmp_path / "d.txt").write_bytes(b"%PDF-1.7 text")
+    outside = tmp_path.parent / f"{tmp_path.name}-outside"
+    outside.mkdir()
+    (outside / "e.pdf").write_bytes(b"%PDF")
+    (tmp_path / "linked").symlink_to(outside)
+    (tmp_path / "f.pdf").symlink_to(outside / "e.pdf")
+    rows = scan_case_folder(spark, str(tmp_path), max_bytes=50).collect()
+    got = {r.relative_path: (r.media_type, r.status, r.type_mismatch) for r in rows}
+    # Files of no known type are left out, and so is what lies behind a linked folder.
+    assert got == {"sub/a.pdf": ("pdf", "registered", False), "c.mp4": ("video", "skipped", False), "d.txt": ("pdf", "registered", True), "f.pdf": ("pdf", "skipped", False)}
+    assert [r.relative_path for r in rows] == sorted(got) and all((r.sha256 is None) == (r.status == "skipped") for r in rows)
+    assert rows[-1].sha256 == hashlib.sha256(b"%PDF").hexdigest()
 
 
 @pytest.mark.parametrize("hot_rows", [None, 10])
