@@ -10,12 +10,39 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.vectors import pairs_above, unit_rows
 from ledgerlens.runtime import Scratch, lookup_join
 
+#: Ends of edges that one task links.
+ONE_TASK = 200_000
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
-    """(node, component): each node's smallest linked node, by minima of neighbours and pointer jumps until unchanged. A hub's edges are spread over tasks."""
+
+def _smallest_linked(us: list, vs: list) -> pd.DataFrame:
+    """Each node's smallest linked node, by joining trees."""
+    up = {n: n for n in {*us, *vs}}
+
+    def root(n):
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for u, v in zip(us, vs):
+        a, b = root(u), root(v)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return pd.DataFrame({"node": list(up), "component": [root(n) for n in up]})
+
+
+def components(edges: DataFrame, a: str, b: str, rounds: int = 100, one_task: int | None = None) -> DataFrame:
+    """(node, component): each node's smallest linked node, by minima of neighbours and pointer jumps until unchanged.
+
+    A hub's edges are spread over tasks. At most ``one_task`` edges (each counted from both ends) are linked in a single task,
+    which gives the same result without rounds.
+    """
     scratch = Scratch(edges.sparkSession)
     both = scratch.cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct(), "both")
     size = both.count()
+    if size <= (ONE_TASK if one_task is None else one_task):
+        kind = both.schema["u"].dataType.simpleString()
+        return both.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda g: _smallest_linked(g["u"].tolist(), g["v"].tolist()), f"node {kind}, component {kind}")
     label = scratch.cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("component")), "label")
     for _ in range(rounds):
         near = lookup_join(both, label.select(F.col("node").alias("v"), "component"), "v", "inner", size).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))

@@ -63,7 +63,7 @@ def match_identities(pairs: DataFrame, cases: DataFrame, share: float = SHARE) -
 
 def spoken_snippets(segments: DataFrame, voices: DataFrame, limit: int = 3) -> DataFrame:
     """(voice_cluster_id, snippets): up to ``limit`` distinct texts of segments (source_file_id, start_time, end_time, text_content) that overlap a voice's turns, in order."""
-    met = _overlapping(segments.filter(F.length("text_content") > 0), voices)
+    met = _overlapping(segments.filter(F.length("text_content") > 0).select("source_file_id", "start_time", "end_time", "text_content"), voices)
     first = met.groupBy("voice_cluster_id", "text_content").agg(F.min("start_time").alias("at"))
     w = Window.partitionBy("voice_cluster_id").orderBy("at", "text_content")
     some = first.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.labels import consistency, method_label
 from ledgerlens.operators.merge import upsert
 from ledgerlens.operators.vectors import cross_above
+from ledgerlens.runtime import Scratch
 
 #: Cosines that two sounds and two pictures must exceed, confidence of an identity's anchor, seconds within which anchors agree.
 SOUND, SIGHT, SURE, AGREE = 0.9, 0.85, 0.95, 1.0
@@ -73,6 +74,7 @@ def estimate_offsets(anchors: list[DataFrame], agree: float = AGREE) -> DataFram
     for a in anchors:
         own = a.select(*keys, "method", (F.col("time_b") - F.col("time_a")).alias("d"))
         rows = own if rows is None else rows.unionByName(own)
+    rows = Scratch(rows.sparkSession).cut(rows, "anchors")  # read three times
     counts = [F.count(F.when(F.col("method") == m, 1)).alias(m) for m in METHODS]
     middle = rows.groupBy(*keys).agg(F.percentile("d", F.lit(0.5)).alias("offset_seconds"), F.count(F.lit(1)).alias("anchor_count"), *counts)
     apart = rows.join(middle.select(*keys, "offset_seconds"), keys).withColumn("r", F.col("d") - F.col("offset_seconds"))
@@ -99,6 +101,7 @@ def case_times(nodes: DataFrame, pairs: DataFrame, offsets: DataFrame, sign: int
 
     Only cases of which every pair has an offset get times; a node that can't get one isn't in the result.
     """
+    offsets = Scratch(offsets.sparkSession).cut(offsets, "offsets")
     whole = complete_cases(pairs, offsets)
     shift = offsets.select("case_id", F.col("source_b").alias("source_file_id"), (sign * F.col("offset_seconds")).alias("shift"))
     zero = pairs.select("case_id", F.col("source_a").alias("source_file_id")).distinct().withColumn("shift", F.lit(0.0))

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import fuse, intent, keywords, normalize_name, seconds_in, snippet, subject
+from ledgerlens.functions.text import fuse, intent, keywords, match_count, normalize_name, seconds_in, snippet, subject
 from ledgerlens.functions.vector import centroids, cosine
-from ledgerlens.operators.graph import average_linkage, components, greedy_matching
+from ledgerlens.operators.graph import average_linkage, density_clusters, greedy_matching
 from ledgerlens.operators.intervals import periods_and_gaps
 from ledgerlens.operators.merge import cascade, keep_latest
+from ledgerlens.operators.vectors import pairs_above
 from ledgerlens.operators.temporal import asof_forward, band_join, fixed_windows, moments, overlap_join, windows_covered
-from ledgerlens.plans.search import floor_and_gate, hybrid, keyword_hits, over_fetch, vector_hits
+from ledgerlens.plans.search import floor_and_gate, over_fetch, vector_hits
 from ledgerlens.runtime import ship
 from ledgerlens.sources.media import media_type_of_mime, media_type_of_name
 from ledgerlens.sources.tables import table
@@ -242,7 +243,11 @@ SEARCH_TERMS = ["cracked", "phone", "turnstile"]
     SELECT id AS node_id, matches, matches / 3.0::DOUBLE AS score FROM h WHERE matches > 0 ORDER BY matches DESC, length(text_content), id LIMIT 60""",
 )
 def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
-    return keyword_hits(nodes(spark, folder, "text_content"), "id", "text_content", SEARCH_TERMS, over_fetch(20)).withColumnRenamed("id", "node_id")
+    # Texts are scored where they lie; only ids and scores are made distinct.
+    n = match_count(F.col("text_content"), SEARCH_TERMS)
+    scored = table(spark, folder, "evidence_node").select("id", n.alias("matches"), F.length("text_content").alias("size")).filter("matches > 0").distinct()
+    best = scored.orderBy(F.desc("matches"), "size", "id").limit(over_fetch(20))
+    return best.select(F.col("id").alias("node_id"), "matches", (F.col("matches") / len(SEARCH_TERMS)).alias("score"))
 
 
 @query(
@@ -286,7 +291,9 @@ def question_keywords(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {n_sql('node_type', 'text_content', 'file_path')} SELECT id AS node_id, nullif(concat_ws(chr(10) || chr(10), CASE WHEN trim(text_content) <> '' THEN 'text: ' || trim(text_content) END, CASE WHEN trim(file_path) <> '' THEN 'file: ' || trim(file_path) END), '') AS fused FROM n",
 )
 def fused_node_text(spark: SparkSession, folder: str) -> DataFrame:
-    return nodes(spark, folder, "node_type", "text_content", "file_path").select(F.col("id").alias("node_id"), fuse(text=F.col("text_content"), file=F.col("file_path")).alias("fused"))
+    # Repeats of an id carry the same content, so any of them will do; no text is compared.
+    once = table(spark, folder, "evidence_node").groupBy("id").agg(*[F.any_value(c, True).alias(c) for c in ("text_content", "file_path")])
+    return once.select(F.col("id").alias("node_id"), fuse(text=F.col("text_content"), file=F.col("file_path")).alias("fused"))
 
 
 # --- entities and the graph ----------------------------------------------------------------------------------------
@@ -325,55 +332,6 @@ def alignments(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.least("node_a_id", "node_b_id").alias("a"), F.greatest("node_a_id", "node_b_id").alias("b"), F.upper(F.trim("alignment_type")).alias("kind")).distinct()
 
 
-@query("node_edges", f"WITH {A_SQL}, {M_SQL} SELECT a AS node_id, b AS other, kind FROM e UNION ALL SELECT b, a, kind FROM e UNION ALL SELECT node_id, entity_id, 'MENTIONS' FROM m")
-def node_edges(spark: SparkSession, folder: str) -> DataFrame:
-    e = alignments(spark, folder)
-    ends = F.explode(F.array(F.struct(F.col("a").alias("node_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("node_id"), F.col("a").alias("other"))))
-    both = e.select(ends.alias("x"), "kind").select("x.node_id", "x.other", "kind")
-    return both.unionByName(mentions(spark, folder).select("node_id", F.col("entity_id").alias("other"), F.lit("MENTIONS").alias("kind")))
-
-
-@query(
-    "evidence_pack",
-    f"""WITH {A_SQL}, {n_sql('source_file_id', 'node_type', 'start_time', 'end_time')}, w AS (SELECT * FROM n WHERE end_time >= 60 AND start_time <= 600), ends AS (SELECT a AS id, kind FROM e UNION ALL SELECT b, kind FROM e)
-    SELECT w.id AS node_id, w.node_type, w.start_time, w.end_time, count(ends.kind) AS relations FROM w LEFT JOIN ends ON ends.id = w.id GROUP BY ALL""",
-)
-def evidence_pack(spark: SparkSession, folder: str) -> DataFrame:
-    window = nodes(spark, folder, "source_file_id", "node_type", "start_time", "end_time").filter("end_time >= 60 and start_time <= 600")
-    ends = alignments(spark, folder).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("relations"))
-    return window.join(ends, "id", "left").select(F.col("id").alias("node_id"), "node_type", "start_time", "end_time", F.coalesce("relations", F.lit(0)).alias("relations"))
-
-
-@query(
-    "candidate_pairs",
-    f"""WITH {A_SQL}, {M_SQL}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY node_id) AS rn FROM m) WHERE rn <= 25),
-    u AS (SELECT x.node_id AS a, y.node_id AS b, 'entity' AS origin FROM c x JOIN c y ON x.entity_id = y.entity_id AND x.node_id < y.node_id UNION ALL SELECT a, b, lower(kind) FROM e WHERE kind IN ('REFERENCES', 'ALIGNS_WITH'))
-    SELECT a AS node_a, b AS node_b, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins FROM u GROUP BY a, b""",
-)
-def candidate_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    # The cap of nodes for each entity is the operator's own rule.
-    w = Window.partitionBy("entity_id").orderBy("node_id")
-    capped = mentions(spark, folder).withColumn("rn", F.row_number().over(w)).filter("rn <= 25").drop("rn")
-    pairs = capped.withColumnRenamed("node_id", "a").join(capped.withColumnRenamed("node_id", "b"), "entity_id").filter("a < b").select("a", "b", F.lit("entity").alias("origin"))
-    linked = alignments(spark, folder).filter(F.col("kind").isin("REFERENCES", "ALIGNS_WITH")).select("a", "b", F.lower("kind").alias("origin"))
-    return pairs.unionByName(linked).groupBy(F.col("a").alias("node_a"), F.col("b").alias("node_b")).agg(F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origins"))
-
-
-@query(
-    "event_components",
-    f"""WITH RECURSIVE {M_SQL}, {F_SQL}, n AS (SELECT DISTINCT v.id, v.start_time, f.case_id FROM evidence_node v JOIN f ON f.id = v.source_file_id WHERE v.start_time IS NOT NULL),
-    e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM m p JOIN m q ON p.entity_id = q.entity_id AND p.node_id < q.node_id JOIN n x ON x.id = p.node_id JOIN n y ON y.id = q.node_id WHERE x.case_id = y.case_id AND abs(x.start_time - y.start_time) <= 30),
-    l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node_id, a AS other FROM l UNION SELECT r.node_id, l.b FROM r JOIN l ON l.a = r.other)
-    SELECT node_id, min(other) AS event_id FROM r GROUP BY node_id""",
-)
-def event_components(spark: SparkSession, folder: str) -> DataFrame:
-    own = files(spark, folder).select(F.col("id").alias("source_file_id"), "case_id")
-    timed = nodes(spark, folder, "source_file_id", "start_time").filter("start_time is not null").join(own, "source_file_id").withColumnRenamed("id", "node_id")
-    seen = mentions(spark, folder).join(timed, "node_id").select("entity_id", "case_id", "node_id", "start_time")
-    near = band_join(seen.withColumn("key", F.concat_ws("|", "case_id", "entity_id")).select("key", "node_id", "start_time"), "key", "start_time", 30.0, "node_id")
-    return components(near.select(F.col("node_id").alias("a"), F.col("b_node_id").alias("b")).distinct(), "a", "b").select(F.col("node").alias("node_id"), F.col("component").alias("event_id"))
-
-
 # --- time ----------------------------------------------------------------------------------------------------------
 
 T_SQL = "n AS (SELECT DISTINCT id, source_file_id, node_type, start_time, end_time FROM evidence_node WHERE end_time >= start_time)"
@@ -456,23 +414,6 @@ def unified_timeline(spark: SparkSession, folder: str) -> DataFrame:
     return shown.filter("display_time is not null").select(F.col("id").alias("node_id"), "file_name", "node_type", "display_time").orderBy("display_time", "file_name", "node_id").limit(500)
 
 
-@query(
-    "offset_estimates",
-    f"""WITH {A_SQL}, {n_sql('source_file_id', 'start_time')}, p AS (SELECT x.source_file_id AS source_a, y.source_file_id AS source_b, y.start_time - x.start_time AS d FROM e JOIN n x ON x.id = e.a JOIN n y ON y.id = e.b WHERE e.kind = 'ALIGNS_WITH' AND x.source_file_id <> y.source_file_id AND x.start_time IS NOT NULL AND y.start_time IS NOT NULL),
-    q AS (SELECT *, median(d) OVER (PARTITION BY source_a, source_b) AS mid FROM p)
-    SELECT source_a, source_b, round(any_value(mid), 6) AS offset_seconds, count(*) AS anchors, round(avg(CASE WHEN abs(d - mid) <= 1 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS confidence FROM q GROUP BY 1, 2""",
-)
-def offset_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    n = nodes(spark, folder, "source_file_id", "start_time").filter("start_time is not null")
-    e = alignments(spark, folder).filter("kind = 'ALIGNS_WITH'")
-    for side in ("a", "b"):
-        e = e.join(n.select(F.col("id").alias(side), F.col("source_file_id").alias(f"source_{side}"), F.col("start_time").alias(f"t_{side}")), side)
-    apart = e.filter("source_a <> source_b").select("source_a", "source_b", (F.col("t_b") - F.col("t_a")).alias("d"))
-    middle = apart.groupBy("source_a", "source_b").agg(F.percentile("d", F.lit(0.5)).alias("mid"), F.count(F.lit(1)).alias("anchors"))
-    near = apart.join(middle, ["source_a", "source_b"]).groupBy("source_a", "source_b", "mid", "anchors").agg(F.avg((F.abs(F.col("d") - F.col("mid")) <= 1).cast("double")).alias("c"))
-    return near.select("source_a", "source_b", F.round("mid", 6).alias("offset_seconds"), "anchors", F.round("c", 6).alias("confidence"))
-
-
 @query(
     "stitched_transcripts",
     """WITH s AS (SELECT DISTINCT id, source_file_id, start_time, trim(text_content) AS t FROM evidence_node WHERE node_type = 'transcript_chunk' AND start_time IS NOT NULL AND trim(text_content) <> ''), k AS (SELECT *, row_number() OVER (PARTITION BY source_file_id, start_time ORDER BY id) AS rn FROM s)
@@ -485,7 +426,11 @@ def stitched_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     return once.groupBy("source_file_id").agg(F.count(F.lit(1)).alias("segments"), F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("transcript"))
 
 
-@query("moments")
+@query(
+    "moments",
+    f"""WITH RECURSIVE {T_SQL}, d AS (SELECT DISTINCT source_file_id, start_time AS t FROM n), r AS (SELECT source_file_id, min(t) AS at FROM d GROUP BY 1 UNION ALL SELECT r.source_file_id, (SELECT min(d.t) FROM d WHERE d.source_file_id = r.source_file_id AND d.t - r.at > 3) FROM r WHERE r.at IS NOT NULL)
+    SELECT r.source_file_id, r.at AS moment_start, (SELECT count(*) FROM n WHERE n.source_file_id = r.source_file_id AND n.start_time >= r.at AND n.start_time - r.at <= 3)::INT AS size FROM r WHERE r.at IS NOT NULL""",
+)
 def moments_query(spark: SparkSession, folder: str) -> DataFrame:
     return moments(timed(spark, folder), "source_file_id", "start_time")
 
@@ -510,23 +455,9 @@ def first_vector(spark: SparkSession, folder: str) -> list[float]:
     return list(vectors(spark, folder).orderBy("vec_id").first().embedding)
 
 
-def similar_pairs_of_label(spark: SparkSession, folder: str, above: float) -> DataFrame:
-    v = vectors(spark, folder)
-    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, "label").filter("a < b").select("label", "a", "b", cosine(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") > above)
-
-
 @query("similar_to_edges", f"SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({cos_sql('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {cos_sql('a.embedding', 'b.embedding')} > {SIMILAR}")
 def similar_to_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return similar_pairs_of_label(spark, folder, SIMILAR).withColumn("score", F.round("score", 6))
-
-
-@query("references_cross", f"SELECT a.vec_id AS page_id, b.vec_id AS segment_id, round({cos_sql('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON b.label = a.label + 5 WHERE a.label < 5 AND {cos_sql('a.embedding', 'b.embedding')} > {SIMILAR}")
-def references_cross(spark: SparkSession, folder: str) -> DataFrame:
-    v = vectors(spark, folder)
-    pages = v.filter("label < 5").select((F.col("label") + 5).alias("label"), F.col("vec_id").alias("page_id"), F.col("embedding").alias("va"))
-    segments = v.filter("label >= 5").select("label", F.col("vec_id").alias("segment_id"), F.col("embedding").alias("vb"))
-    return pages.join(segments, "label").select("page_id", "segment_id", cosine(F.col("va"), F.col("vb")).alias("score")).filter(F.col("score") > SIMILAR).withColumn("score", F.round("score", 6))
+    return pairs_above(vectors(spark, folder), "label", "vec_id", "embedding", SIMILAR).withColumn("score", F.round("score", 6))
 
 
 @query("knn_search", f"WITH {Q_SQL} SELECT vec_id, round({cos_sql('embedding', 'qe')}, 6) AS score FROM embeddings, q ORDER BY {cos_sql('embedding', 'qe')} DESC, vec_id LIMIT 20")
@@ -542,18 +473,6 @@ def floor_and_gate_query(spark: SparkSession, folder: str) -> DataFrame:
     return floor_and_gate(hits, "text").withColumn("score", F.round("score", 6))
 
 
-@query(
-    "hybrid_search",
-    f"""WITH {Q_SQL}, h AS (SELECT vec_id, label, {cos_sql('embedding', 'qe')} AS s FROM embeddings, q), v AS (SELECT vec_id, s FROM h WHERE label < 5 ORDER BY s DESC, vec_id LIMIT 60), t AS (SELECT vec_id, s FROM h WHERE label % 2 = 0 ORDER BY s DESC, vec_id LIMIT 60),
-    u AS (SELECT vec_id, s * 0.45 AS p, 'visual' AS tag FROM v WHERE s >= 0.05 UNION ALL SELECT vec_id, s * 0.55, 'text' FROM t WHERE s >= 0.05)
-    SELECT vec_id, round(sum(p), 6) AS score, string_agg(DISTINCT tag, ',' ORDER BY tag) AS matched_on FROM u GROUP BY vec_id ORDER BY sum(p) DESC, vec_id LIMIT 20""",
-)
-def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    q, v = first_vector(spark, folder), vectors(spark, folder)
-    seen, read = (floor_and_gate(vector_hits(v.filter(part), "vec_id", "embedding", q, over_fetch(20)), space, 0.05, 0.0) for space, part in (("visual", "label < 5"), ("text", "label % 2 = 0")))
-    return hybrid(seen, read, "vec_id", 20).select("vec_id", F.round("score", 6).alias("score"), F.array_join("matched_on", ",").alias("matched_on"))
-
-
 @query(
     "label_centroids",
     """WITH p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) AS r(i) GROUP BY label, i), z AS (SELECT label, sqrt(sum(m * m)) AS size FROM p GROUP BY label)
@@ -569,10 +488,9 @@ def label_centroids(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {cos_sql('a.embedding', 'b.embedding')} > {LINKED}),
     r AS (SELECT DISTINCT a AS vec_id, a AS other FROM e UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.other) SELECT vec_id, min(other) AS cluster_id FROM r GROUP BY vec_id""",
 )
-def density_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    # With two members as the least a cluster needs, every linked vector is a core: clusters are components.
-    edges = similar_pairs_of_label(spark, folder, LINKED)
-    return components(edges, "a", "b").select(F.col("node").alias("vec_id"), F.col("component").alias("cluster_id"))
+def density_clusters_query(spark: SparkSession, folder: str) -> DataFrame:
+    # Cosines above LINKED are distances below the rest; no two lie exactly there.
+    return density_clusters(vectors(spark, folder), "label", "vec_id", "embedding", 1 - LINKED).withColumnRenamed("cluster", "cluster_id")
 
 
 @query("linkage_clusters")
@@ -585,33 +503,6 @@ def greedy_matches(spark: SparkSession, folder: str) -> DataFrame:
     return greedy_matching(presence_jaccard(spark, folder).select("source_file_id", "type_a", "type_b", "jaccard"), "source_file_id", "type_a", "type_b", "jaccard", 0.1)
 
 
-@query(
-    "visual_bins",
-    f"""WITH {A_SQL}, {n_sql('source_file_id', 'start_time')}, p AS (SELECT x.source_file_id AS sa, y.source_file_id AS sb, y.start_time - x.start_time AS d FROM e JOIN n x ON x.id = e.a JOIN n y ON y.id = e.b WHERE x.start_time IS NOT NULL AND y.start_time IS NOT NULL)
-    SELECT sa AS source_a, sb AS source_b, round_even(d, 0)::INT AS bin, count(*) AS members, round(median(d), 6) AS middle, round(CASE WHEN count(*) = 1 THEN 0.1 ELSE stddev_pop(d) END, 6) AS spread FROM p GROUP BY 1, 2, 3""",
-)
-def visual_bins(spark: SparkSession, folder: str) -> DataFrame:
-    n = nodes(spark, folder, "source_file_id", "start_time").filter("start_time is not null")
-    e = alignments(spark, folder)
-    for side in ("a", "b"):
-        e = e.join(n.select(F.col("id").alias(side), F.col("source_file_id").alias(f"source_{side}"), F.col("start_time").alias(f"t_{side}")), side)
-    d = e.withColumn("d", F.col("t_b") - F.col("t_a")).withColumn("bin", F.bround("d", 0).cast("int"))
-    spread = F.when(F.count(F.lit(1)) == 1, 0.1).otherwise(F.stddev_pop("d"))
-    return d.groupBy("source_a", "source_b", "bin").agg(F.count(F.lit(1)).alias("members"), F.round(F.percentile("d", F.lit(0.5)), 6).alias("middle"), F.round(spread, 6).alias("spread"))
-
-
-@query(
-    "case_time_shift",
-    f"WITH {F_SQL}, {T_SQL}, r AS (SELECT f.case_id, min(n.source_file_id) AS reference FROM n JOIN f ON f.id = n.source_file_id GROUP BY 1), o AS (SELECT source_file_id, min(start_time) AS shift FROM n GROUP BY 1) SELECT n.id AS node_id, round(CASE WHEN n.source_file_id = r.reference THEN n.start_time ELSE n.start_time + o.shift END, 6) AS case_time FROM n JOIN f ON f.id = n.source_file_id JOIN r ON r.case_id = f.case_id JOIN o ON o.source_file_id = n.source_file_id",
-)
-def case_time_shift(spark: SparkSession, folder: str) -> DataFrame:
-    n = timed(spark, folder).join(files(spark, folder).select(F.col("id").alias("source_file_id"), "case_id"), "source_file_id")
-    reference = n.groupBy("case_id").agg(F.min("source_file_id").alias("reference"))
-    shift = n.groupBy("source_file_id").agg(F.min("start_time").alias("shift"))
-    moved = F.when(F.col("source_file_id") == F.col("reference"), F.col("start_time")).otherwise(F.col("start_time") + F.col("shift"))
-    return n.join(reference, "case_id").join(shift, "source_file_id").select(F.col("id").alias("node_id"), F.round(moved, 6).alias("case_time"))
-
-
 # --- streams: an extension -----------------------------------------------------------------------------------------
 
 

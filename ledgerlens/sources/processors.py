@@ -234,8 +234,8 @@ def sampling_targets(segments: DataFrame, key: str, interval: float = INTERVAL,
     # How many targets lie before a segment tells which of its own are within the bound: none is made beyond it.
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("segment_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = segments.withColumn("_n", F.greatest(count, F.lit(0)).cast("long")).withColumn("_left", F.least(F.col("_n"), F.lit(most) - before))
-    made = rows.filter("_left > 0").select(key, "segment_no", "start_time", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_left") - 1)).alias("k"))
-    return made.select(key, "segment_no", (F.col("start_time") + F.col("k") * F.lit(float(interval))).alias("target"))
+    made = rows.filter("_left > 0").select(key, "segment_no", "start_time", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_left") - 1)).alias("_k"))
+    return made.select(key, "segment_no", (F.col("start_time") + F.col("_k") * F.lit(float(interval))).alias("target"))
 
 
 def sniffed_mime(head: Column) -> Column:

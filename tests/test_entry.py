@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import ledgerlens.case_queries  # noqa: F401 - registers its queries
 import ledgerlens.queries as core
 
 ROOT = Path(__file__).resolve().parents[1]

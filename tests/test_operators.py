@@ -75,6 +75,7 @@ def test_merges(spark):
 def test_graphs(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(90, 91)], "a int, b int")
     got = {r.node: r.component for r in components(edges, "a", "b").collect()}
+    assert got == {r.node: r.component for r in components(edges, "a", "b", one_task=0).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {90: 90, 91: 90}
     v = spark.createDataFrame([("c", 1, [1.0, 0.0]), ("c", 2, [0.99, 0.01]), ("c", 3, [-1.0, 0.0])], "k string, id int, v array<double>")
     assert {r.id: r.cluster for r in average_linkage(v, "k", "id", "v", 0.2).collect()} == {1: 1, 2: 1, 3: 3}
