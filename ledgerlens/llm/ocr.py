@@ -28,8 +28,8 @@ LEXICON, SEEN, TRUSTED = 300_000, 3, 8
 RATIO_SYMBOL, RATIO_LETTER = 3, 25
 #: The same for words of three letters; those of two are left, as each is a word in some language.
 RATIO_SHORT = 300
-#: Confusions in a word at most.
-CONFUSIONS = 5
+#: Confusions in a word, and tokens that one word may have been torn into, at most.
+CONFUSIONS, JOINED = 5, 4
 #: Lines at the head and foot that may be titles or numbers, and the length of these at most.
 EDGE, EDGE_LENGTH = 3, 90
 #: Share of a file's pages, and pages, that a title stands on at least.
@@ -180,19 +180,27 @@ def _alone(lexicon: Lexicon, token: str) -> list[tuple[float, list[str], int | N
     return out
 
 
-def _joined(lexicon: Lexicon, one: str, two: str) -> tuple[float, str, int | None] | None:
-    """The cost of two tokens as one word, the word, and the place of a confusion in the two. A capital opens a word of its own."""
-    at, a = core_of(one)
-    before, b = core_of(two)
-    if before or at + len(a) < len(one) or not (a and b and _wordlike(a) and _wordlike(b)) or (price(lexicon, a) is not None and price(lexicon, b) is not None):
-        return None
-    if any(c.isupper() for c in two) and not (one.isupper() and two.isupper() and len(b) > 1):
+def _joined(lexicon: Lexicon, tokens: list[str]) -> tuple[float, str, tuple[int, int] | None] | None:
+    """The cost of neighbouring tokens as one word, the word, and the token and place of a confusion. A capital opens a word of its own.
+
+    Of two tokens a misread whole may be corrected; more than two are joined only to a known word.
+    """
+    cores = [core_of(t) for t in tokens]
+    last = len(tokens) - 1
+    for k, (t, (at, core)) in enumerate(zip(tokens, cores)):
+        if not core or not _wordlike(core) or (k and at) or (k < last and at + len(core) < len(t)):
+            return None
+        if k and any(c.isupper() for c in t) and not (tokens[0].isupper() and t.isupper() and len(core) > 1):
+            return None
+    if all(price(lexicon, core) is not None for _, core in cores):
         return None
-    if (p := price(lexicon, a + b)) is not None:
-        return p + 4.0, _dress(one + two, a + b), None
-    if (fix := lexicon.correct(a + b)) is None:
+    raw, whole = "".join(tokens), "".join(core for _, core in cores)
+    if (p := price(lexicon, whole)) is not None:
+        return p + 4.0 * last, _dress(raw, whole), None
+    if last > 1 or (fix := lexicon.correct(whole)) is None:
         return None
-    return (price(lexicon, fix[0]) or 14.0) + 7.0, _dress(one + two, fix[0]), at + fix[1]
+    place = cores[0][0] + fix[1]
+    return (price(lexicon, fix[0]) or 14.0) + 7.0, _dress(raw, fix[0]), (0, place) if place < len(tokens[0]) else (1, place - len(tokens[0]))
 
 
 def read_stretch(lexicon: Lexicon, tokens: list[str]) -> list[Reading]:
@@ -203,10 +211,11 @@ def read_stretch(lexicon: Lexicon, tokens: list[str]) -> list[Reading]:
         for cost, words, place in _alone(lexicon, token):
             if here + cost < best[i + 1][0]:
                 best[i + 1] = (here + cost, i, Reading(words, [i], [] if place is None else [(i, place)]))
-        if i + 1 < len(tokens) and (got := _joined(lexicon, token, tokens[i + 1])) is not None and here + got[0] < best[i + 2][0]:
-            place = got[2]
-            misread = [] if place is None else [(i, place) if place < len(token) else (i + 1, place - len(token))]
-            best[i + 2] = (here + got[0], i, Reading([got[1]], [i, i + 1], misread))
+        for n in range(2, min(JOINED, len(tokens) - i) + 1):
+            got = _joined(lexicon, tokens[i : i + n])
+            if got is not None and here + got[0] < best[i + n][0]:
+                misread = [] if got[2] is None else [(i + got[2][0], got[2][1])]
+                best[i + n] = (here + got[0], i, Reading([got[1]], list(range(i, i + n)), misread))
     out, i = [], len(tokens)
     while i > 0:
         _, prev, step = best[i]

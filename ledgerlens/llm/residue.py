@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.linear import Rows, fit_logistic, sigmoid
+from ledgerlens.runtime import Scratch
 
 DIM = 1 << 18
 #: Documents that the classifier is fitted on at most, and the share of their plain segments that is kept.
 SAMPLE_DOCUMENTS, KEEP_PLAIN = 20_000, 4
+#: Characters of the sample that reach the driver at most, about.
+SAMPLE_CHARS = 64_000_000
 #: Characters that are cut into features together, about.
 CHARS = 2_000_000
 #: Tasks that the sample is spread over: a limit leaves it in one.
@@ -213,9 +216,14 @@ def labelled_segments(df: DataFrame, text_col: str, host_col: str | None, sample
     return picked.mapInPandas(label, "segment string, label int, title boolean, size double, held_out boolean")
 
 
-def fit_residue(df: DataFrame, text_col: str = "text", host_col: str | None = "source", sample_documents: int = SAMPLE_DOCUMENTS) -> ResidueModel:
+def fit_residue(df: DataFrame, text_col: str = "text", host_col: str | None = "source", sample_documents: int = SAMPLE_DOCUMENTS, sample_chars: int = SAMPLE_CHARS) -> ResidueModel:
     """Fit on the sample's seen hosts, choose the threshold on its unseen hosts, and refit on both."""
-    got = labelled_segments(df, text_col, host_col, sample_documents).toPandas().sort_values(["segment", "title", "size"], ignore_index=True)
+    labelled = Scratch(df.sparkSession).cut(labelled_segments(df, text_col, host_col, sample_documents), "labelled")
+    # Documents bound the sample's rows, characters its bytes: of longer ones a share of the segments is taken, by hash.
+    chars = labelled.agg(F.sum(F.length("segment"))).first()[0] or 0
+    if chars > sample_chars:
+        labelled = labelled.filter(F.pmod(F.xxhash64("segment", "title", "size"), F.lit(1_000_000)) < int(sample_chars / chars * 1_000_000))
+    got = labelled.toPandas().sort_values(["segment", "title", "size"], ignore_index=True)
     if not len(got) or not (got["label"] == 1).any():
         return ResidueModel(np.zeros(DIM), np.zeros(6), -35.0)
 

@@ -104,3 +104,9 @@ def test_dirty_rows(spark):
     assert [tuple(r) for r in find_noise(df).collect()] == [("c", "hyphen", 1)]
     assert find_noise(df.limit(0)).collect() == [] and repair_pages(df.limit(0)).collect() == []
     assert build_lexicon(df.limit(0)).counts == {}
+
+
+def test_words_torn_into_several_tokens():
+    torn = [w for w, _ in decode(LEX, ["the", "w", "it", "ness", "heardvehicle"])]
+    assert torn == ["the", "witness", "heard", "vehicle"]
+    assert [w for w, _ in decode(LEX, ["the", "witness", "heard", "the", "vehicle"])] == ["the", "witness", "heard", "the", "vehicle"]
