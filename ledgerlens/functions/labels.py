@@ -9,7 +9,7 @@ from ledgerlens.functions.text import timecode
 
 # The headings of fused text.
 SECTIONS = ["Transcript", "Visual description", "On-screen text", "Document text"]
-# The leads of answers by intent.
+# The leads of answers by intent, and what is said without facts and without a question.
 LEADS = {"contradiction": "Disagreements found", "co_occurrence": "Co-occurring evidence found", "identity": "Evidence linked to this person", "timeline": "Evidence in that time range", "entity": "Evidence mentioning this", "general": "Closest matching evidence"}
 NO_FACTS, NO_QUESTION = "No evidence in this case matches that question.", "Ask a question about the case."
 

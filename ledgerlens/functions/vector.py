@@ -1,4 +1,4 @@
-"""Vectors as arrays: computed in double inside generated code."""
+"""Vectors as arrays, computed in double by Spark's array functions, element by element: for one query against many rows. Pairs go through operators.vectors."""
 
 from __future__ import annotations
 
@@ -20,6 +20,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+def cosine_to(a: Column, query: list[float]) -> Column:
+    """The cosine to one known vector: it is normalised once, on the driver."""
+    size = sum(float(x) ** 2 for x in query) ** 0.5
+    unit_query = F.array(*[F.lit(float(x) / size if size else 0.0) for x in query])
+    own = norm(a)
+    return F.when(own > 0, dot(a, unit_query) / own).otherwise(0.0)
+
+
 def unit(a: Column) -> Column:
     size = norm(a)
     return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -73,12 +74,9 @@ def _look(r: Result, models: Models, image: str | None) -> None:
 
 def summarise(boxes: list[tuple[str, float]]) -> dict:
     """Count and best confidence of each label."""
-    labels: dict[str, dict] = {}
-    for label, confidence in boxes:
-        own = labels.setdefault(label, {"count": 0, "max_confidence": 0.0})
-        own["count"] += 1
-        own["max_confidence"] = max(own["max_confidence"], float(confidence))
-    return {"labels": labels, "total": len(boxes)}
+    best = {label: max(float(c) for other, c in boxes if other == label) for label in {b[0] for b in boxes}}
+    counts = Counter(label for label, _ in boxes)
+    return {"labels": {k: {"count": n, "max_confidence": best[k]} for k, n in sorted(counts.items())}, "total": len(boxes)}
 
 
 def _listen(r: Result, models: Models, path: str | None, node: dict) -> None:

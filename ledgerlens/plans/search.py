@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import MAX_TERMS, MIN_TERM, SEARCH_STOPWORDS, match_count, snippet
-from ledgerlens.functions.vector import cosine
+from ledgerlens.functions.text import KEYWORD, MAX_TERMS, MIN_TERM, SEARCH_STOPWORDS, match_count, snippet
+from ledgerlens.functions.vector import cosine_to
 
 # Floors, gates relative to the best hit, and weights of the two spaces.
 FLOOR = {"visual": 0.24, "text": 0.25}
@@ -31,8 +31,7 @@ def keyword_hits(nodes: DataFrame, id_col: str, text: str, terms: list[str], lim
 
 def vector_hits(nodes: DataFrame, id_col: str, vector: str, query: list[float], limit: int) -> DataFrame:
     """(<id_col>, score): the nearest vectors by cosine. Each task keeps its own best before they are merged."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return nodes.select(id_col, cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
+    return nodes.select(id_col, cosine_to(F.col(vector), query).alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
 
 
 def floor_and_gate(hits: DataFrame, space: str, floor: float | None = None, gate: float | None = None) -> DataFrame:
@@ -96,11 +95,8 @@ def search(nodes: DataFrame, words: str, visual: list[float] | None, text: list[
 
 def search_terms(words: str) -> list[str]:
     """The terms of a question, as functions.text.keywords() takes them from a column."""
-    out = []
-    for w in re.findall(r"[A-Za-z0-9][A-Za-z0-9'-]*", words):
-        if len(w) >= MIN_TERM and w.lower() not in SEARCH_STOPWORDS and w.lower() not in out:
-            out.append(w.lower())
-    return out[:MAX_TERMS]
+    long = (w.lower() for w in re.findall(KEYWORD, words) if len(w) >= MIN_TERM)
+    return list(dict.fromkeys(w for w in long if w not in SEARCH_STOPWORDS))[:MAX_TERMS]
 
 
 def shown_hits(hits: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def resolve_within(base: str | Path, candidate: str | Path) -> Path:
     """The candidate's real path, links followed; an error where it lies outside the base."""
     root = Path(base).resolve()
     target = (root / candidate).resolve()
-    if target != root and root not in target.parents:
+    if not target.is_relative_to(root):
         raise ConfigError(f"path leaves the case folder: {candidate}")
     return target
 

@@ -7,6 +7,7 @@ headers. A file that can't be read is a row with an error, not an exception.
 
 from __future__ import annotations
 
+import math
 import struct
 import wave
 from collections.abc import Callable, Iterator
@@ -32,13 +33,8 @@ class MediaError(Exception):
 
 def windows(duration: float, width: float = WINDOW) -> list[tuple[float, float]]:
     """Windows of one width, the last short; a single full one where the duration isn't known."""
-    if not duration or duration <= 0:
-        return [(0.0, width)]
-    out, at = [], 0.0
-    while at < duration:
-        out.append((at, min(at + width, duration)))
-        at += width
-    return out
+    count = math.ceil(duration / width) if duration and duration > 0 else 0
+    return [(k * width, min((k + 1) * width, duration)) for k in range(count)] or [(0.0, width)]
 
 
 def segments_of(duration: float, boundaries: list[tuple[float, float]] | None, width: float = WINDOW) -> tuple[list[tuple[float, float]], str]:
@@ -141,11 +137,8 @@ class VideoProcessor:
         return [{"node_type": "scene_segment", "start_time": a, "end_time": b, "file_path": path, "metadata": {**said, "segment_index": i, "duration_sec": b - a, "frames": frames.get(i, [])}} for i, (a, b) in enumerate(segments)]
 
 
-def _targets(start: float, end: float, interval: float) -> Iterator[float]:
-    at = start
-    while at < end:
-        yield at
-        at += interval
+def _targets(start: float, end: float, interval: float) -> list[float]:
+    return [start + k * interval for k in range(math.ceil((end - start) / interval))]
 
 
 @dataclass
