@@ -38,6 +38,11 @@ def verdict(answer: Column) -> Column:
     return F.when(relation.isin(VERDICTS), F.struct(relation.alias("relation"), F.when(sure.between(0, 1), sure).otherwise(0.5).alias("confidence")))
 
 
+def explanation(answer: Column) -> Column:
+    """The sentence by which a judge explains itself; null without one."""
+    return F.nullif(F.trim(F.from_json(json_object(answer), "explanation string")["explanation"]), F.lit(""))
+
+
 def display_name(answer: Column) -> Column:
     """A short name without quotes round it; null for no answer and for whole sentences."""
     s = F.regexp_replace(F.trim(F.regexp_replace(answer, r"\s+", " ")), "^[\"']+|[\"']+$", "")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.answers import claim as read_claim
+from ledgerlens.functions.answers import explanation
 from ledgerlens.functions.answers import verdict as read_verdict
 from ledgerlens.functions.vector import cosine
 from ledgerlens.operators.vectors import guarded
@@ -73,15 +74,15 @@ def tally(filtered: DataFrame) -> DataFrame:
 
 
 def judge_pairs(filtered: DataFrame, judge: Callable[[pd.Series, pd.Series], pd.Series], most: int = PAIRS) -> DataFrame:
-    """(node_a, node_b, relationship_type, confidence, origins, claim_a, claim_b): edges of the pairs that aren't unrelated.
+    """(node_a, node_b, relationship_type, confidence, explanation, origins, claim_a, claim_b): edges of the pairs that aren't unrelated.
 
     More than ``most`` pairs to judge are an error, as judging costs a model's time; an answer that can't be read gives no edge.
     """
     left = guarded(filtered.filter("reason is null"), most, "pairs to judge")
     ask = F.pandas_udf(lambda a, b: judge(a, b), "string")
-    said = left.withColumn("v", read_verdict(ask("claim_a", "claim_b")))
+    said = left.withColumn("answer", ask("claim_a", "claim_b")).withColumn("v", read_verdict(F.col("answer")))
     kind = F.when(F.col("v.relation") == "contradicts", EDGES["contradicts"]).when(F.col("v.relation") == "corroborates", EDGES["corroborates"])
-    return said.withColumn("relationship_type", kind).filter("relationship_type is not null").select("node_a", "node_b", "relationship_type", F.col("v.confidence").alias("confidence"), "origins", "claim_a", "claim_b")
+    return said.withColumn("relationship_type", kind).filter("relationship_type is not null").select("node_a", "node_b", "relationship_type", F.col("v.confidence").alias("confidence"), explanation(F.col("answer")).alias("explanation"), "origins", "claim_a", "claim_b")
 
 
 def replace_claim_edges(edges: DataFrame, new: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def evidence_pack(nodes: DataFrame, files: DataFrame, edges: DataFrame, mentions
     a node without times is left out only where a window is asked for. Relations are in the order of type and falling
     confidence, those without one last. ``only_conflicts`` keeps nodes with a relation.
     """
-    rows = nodes.join(files.select("source_file_id", "case_id", "file_name"), "source_file_id")
+    own = nodes.select("node_id", "source_file_id", "node_type", "start_time", "end_time", "page_number", "claim", "text_content")
+    rows = own.join(files.select("source_file_id", "case_id", "file_name"), "source_file_id")
     window = [None if start is None else F.col("end_time") >= start, None if end is None else F.col("start_time") <= end]
     rows = rows.filter(all_of([equal_if_given("case_id", case_id), *window]))
     if entity:
@@ -93,7 +94,8 @@ def other_end(a: Column, b: Column, own: Column) -> Column:
 def relations_about(edges: DataFrame, nodes: DataFrame, files: DataFrame, subject: str | None, kinds: list[str] | None = None, limit: int = 10) -> DataFrame:
     """Edges of claims with both their ends' types and files; with a subject, those whose explanation, claims or texts hold it, in any case."""
     side = lambda s: nodes.join(files.select("source_file_id", "file_name"), "source_file_id").select(F.col("node_id").alias(f"node_{s}"), F.col("node_type").alias(f"type_{s}"), F.col("file_name").alias(f"file_{s}"), F.col("claim").alias(f"claim_{s}"), F.col("text_content").alias(f"text_{s}"))
-    both = edges.filter(F.col("relationship_type").isin(kinds or CLAIM_EDGES)).join(side("a"), "node_a").join(side("b"), "node_b")
+    own = edges.select("node_a", "node_b", "relationship_type", "confidence", "explanation")
+    both = own.filter(F.col("relationship_type").isin(kinds or CLAIM_EDGES)).join(side("a"), "node_a").join(side("b"), "node_b")
     if subject:
         held = [F.col(c).ilike(pattern(subject)) for c in ("explanation", "claim_a", "claim_b", "text_a", "text_b")]
         both = both.filter(reduce(lambda x, y: x | y, [F.coalesce(h, F.lit(False)) for h in held]))
