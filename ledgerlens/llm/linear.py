@@ -27,8 +27,11 @@ class Rows:
         return sums * self.scale + self.dense @ wd + b
 
 
-def fit_logistic(x: Rows, y: np.ndarray, weight: np.ndarray, dim: int, l2: float = 1e-6, rounds: int = 60, memory: int = 8) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of the hashed and dense features and the bias: L2-regularised logistic loss, rows weighted, by L-BFGS."""
+def fit_logistic(x: Rows, y: np.ndarray, weight: np.ndarray, dim: int, l2: float = 1e-6, rounds: int = 60, memory: int = 8, start: tuple[np.ndarray, np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of the hashed and dense features and the bias: L2-regularised logistic loss, rows weighted, by L-BFGS.
+
+    The loss has one minimum; a ``start`` near it (a fit to like rows) saves rounds.
+    """
     k = x.dense.shape[1]
     weight = weight / weight.sum()
 
@@ -44,7 +47,7 @@ def fit_logistic(x: Rows, y: np.ndarray, weight: np.ndarray, dim: int, l2: float
         grad[-1] = g.sum()
         return value, grad
 
-    t = np.zeros(dim + k + 1)
+    t = np.zeros(dim + k + 1) if start is None else np.concatenate([start[0], start[1], [start[2]]])
     value, grad = loss(t)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):

@@ -230,8 +230,8 @@ def fit_residue(df: DataFrame, text_col: str = "text", host_col: str | None = "s
     def rows(part: pd.DataFrame) -> Rows:
         return featurize(list(part["segment"]), part["title"].to_numpy(), part["size"].to_numpy())
 
-    def fit(part: pd.DataFrame) -> ResidueModel:
-        """Fitted twice: of the open segments, those that the first fit finds to be residue join the second."""
+    def fit(part: pd.DataFrame, model: ResidueModel | None = None) -> ResidueModel:
+        """Fitted twice: of the open segments, those that the first fit finds to be residue join the second. Each fit starts from the one before."""
         for sure in (None, SURE):
             if sure is not None:
                 open_p = sigmoid(rows(part).dot(model.w, model.wd, model.b))
@@ -239,11 +239,12 @@ def fit_residue(df: DataFrame, text_col: str = "text", host_col: str | None = "s
             known = part[part["label"] != 2]
             y = known["label"].to_numpy(float)
             # A kept plain segment stands for those that were left out.
-            model = ResidueModel(*fit_logistic(rows(known), y, np.where(y > 0, 1.0, KEEP_PLAIN), DIM))
+            near = None if model is None else (model.w, model.wd, model.b)
+            model = ResidueModel(*fit_logistic(rows(known), y, np.where(y > 0, 1.0, KEEP_PLAIN), DIM, start=near))
         return model
 
     held = got["held_out"].to_numpy(bool)
-    threshold, validation = 0.5, {}
+    threshold, validation, model = 0.5, {}, None
     unseen = got[held & (got["label"] != 2)]
     y = unseen["label"].to_numpy(float)
     if y.any() and (got["label"][~held] == 1).any():
@@ -259,7 +260,7 @@ def fit_residue(df: DataFrame, text_col: str = "text", host_col: str | None = "s
         top = max(best)[0]
         f1, _, threshold, precision, recall = max((b for b in best if b[0] >= top - NEAR), key=lambda b: (b[1], b[2]))
         validation = {"f1": float(f1), "precision": float(precision), "recall": float(recall), "segments": len(unseen), "residue": int(y.sum())}
-    model = fit(got)
+    model = fit(got, model)
     model.threshold, model.validation = float(threshold), validation
     return model
 
