@@ -563,8 +563,14 @@ def _rounds(scratch: Scratch, sums: DataFrame, names: DataFrame) -> DataFrame:
             scratch.drop(t)
 
 
-def variant_pairs(groups: DataFrame, id_col: str = "id") -> DataFrame:
-    """(entity_a_id, entity_b_id) for all pairs of each group, the smaller id first."""
-    a = groups.select(F.col(id_col).alias("entity_a_id"), "group_id")
-    b = groups.select(F.col(id_col).alias("entity_b_id"), "group_id")
-    return a.join(b, "group_id").filter("entity_a_id < entity_b_id").select("entity_a_id", "entity_b_id")
+def variant_pairs(groups: DataFrame, id_col: str = "id", chunk: int = CHUNK) -> DataFrame:
+    """(entity_a_id, entity_b_id) for all pairs of each group, the smaller id first; a group above ``chunk`` names is paired in blocks."""
+    sizes = groups.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).filter("chunks > 1")
+    # Groups that need blocks are few, and have more than ``chunk`` rows each.
+    sized = groups.select(F.col(id_col).alias("id"), "group_id").join(sizes, "group_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    own = sized.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, F.col("own")).alias("i"), F.greatest(c, F.col("own")).alias("j")))
+    keyed = own.withColumn("c", F.explode(others)).select("group_id", "id", "own", "c.i", "c.j")
+    a, b = keyed.withColumnRenamed("id", "entity_a_id").withColumnRenamed("own", "own_a"), keyed.withColumnRenamed("id", "entity_b_id").withColumnRenamed("own", "own_b")
+    met = a.join(b, ["group_id", "i", "j"]).filter("entity_a_id < entity_b_id and (i = j or own_a <> own_b)")
+    return met.select("entity_a_id", "entity_b_id")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.runtime import Scratch
+from ledgerlens.runtime import Scratch, lookup_join
 
 #: Words in the lexicon at most (the most frequent), and times that a word must occur to be in it, and to be a correction.
 LEXICON, SEEN, TRUSTED = 300_000, 3, 8
@@ -499,8 +499,8 @@ def find_noise(df: DataFrame, id_col: str = "id", file_col: str = "source_file_i
     # Only lines of one file meet: a handful of its titles with a handful of edge lines of each page.
     titles = _titles(edges, pages.select("page", "file"))
     like = (F.col("key") == F.col("title")) | ((F.length("title") >= 8) & (F.levenshtein(F.col("key"), F.col("title"), 2) >= 0))
-    headers = edges.filter("value is null").join(titles, "file").filter(like).select("page", F.lit("running_header").alias("kind"), "line_no").distinct()
-    numbers = edges.filter("value is not null").join(_steps(edges), "file").filter("value - number = step").select("page", F.lit("page_number").alias("kind"), "line_no").distinct()
+    headers = lookup_join(edges.filter("value is null"), titles, "file", "inner").filter(like).select("page", F.lit("running_header").alias("kind"), "line_no").distinct()
+    numbers = lookup_join(edges.filter("value is not null"), _steps(edges), "file", "inner").filter("value - number = step").select("page", F.lit("page_number").alias("kind"), "line_no").distinct()
     apart = headers.unionByName(numbers)
     body = lines.filter("kind <> 'edge'").select("page", "kind", "line_no").join(apart.select("page", "line_no"), ["page", "line_no"], "left_anti")
     return body.select("page", "kind", "line_no").unionByName(apart).select(F.col("page").alias(id_col), F.col("kind").alias("noise_kind"), "line_no").distinct()

@@ -141,3 +141,10 @@ def test_names_foreign_to_the_tables(spark):
     found = {(r.entity_a_id, r.entity_b_id) for r in variant_pairs(variant_groups(spark.createDataFrame(rows, SCHEMA))).collect()}
     true = {(x, y) for x in owner for y in owner if x < y and owner[x] == owner[y]}
     assert len(found & true) >= 0.95 * len(true) and len(found & true) >= 0.98 * len(found)
+
+
+def test_pairs_of_a_large_group_in_blocks(spark):
+    rows = [(f"n{i:03}", "g") for i in range(60)] + [("x", "h"), ("y", "h"), ("z", "k")]
+    groups = spark.createDataFrame(rows, "id string, group_id string")
+    got = sorted(tuple(r) for r in variant_pairs(groups, chunk=7).collect())
+    assert got == sorted([(f"n{i:03}", f"n{j:03}") for i in range(60) for j in range(i + 1, 60)] + [("x", "y")])
