@@ -26,9 +26,11 @@ from ledgerlens.operators.events import timeline_events
 from ledgerlens.operators.graph import average_linkage, density_clusters
 from ledgerlens.operators.temporal import overlap_join
 from ledgerlens.operators.vectors import cross_above, pairs_above
+from ledgerlens.plans.detect import detect_faces, diarize, nodes_without_faces
 from ledgerlens.plans.pipeline import Pipeline, Status
 from ledgerlens.plans.reports import audio_coverage
 from ledgerlens.runtime import Scratch
+from ledgerlens.sources.models import LazyModel
 
 Frames = dict[str, DataFrame]
 
@@ -55,6 +57,8 @@ class Agents:
     claims: Callable[[str], str] | None = None
     judge: Callable[[str, str], str] | None = None
     names: Callable[[str], str] | None = None
+    faces: LazyModel | None = None
+    voices: LazyModel | None = None
     prompts: Callable[[str], list[float] | None] | None = None
 
 
@@ -178,13 +182,27 @@ def graph_pipeline(settings: Settings | None = None, agents: Agents | None = Non
                 out = out.unionByName(f[name])
         return {"alignments": out}
 
+    def faces_found(f: Frames) -> Frames:
+        """New faces of nodes that have none yet, beside those there are."""
+        old = f.get("faces")
+        needing(a.faces or old, "skipped: no model detects faces")
+        if a.faces is None:
+            return {}
+        new = detect_faces(f["nodes"], a.faces, None if old is None else nodes_without_faces(f["nodes"], old))
+        return {"faces": new if old is None else old.unionByName(new, allowMissingColumns=True)}
+
+    def voices_found(f: Frames) -> Frames:
+        """The turns of all voices, found anew: those there were give way."""
+        needing(a.voices or f.get("voices"), "skipped: no model tells voices apart")
+        return {"voices": diarize(f["nodes"], a.voices)} if a.voices else {}
+
     faces = lambda f: {"clustered_faces": I.assign_clusters(f["faces"], density_clusters(f["faces"], "case_id", "face_id", "embedding", s.face_eps).withColumnRenamed("cluster", "face_cluster_id"), "face_id", "face_cluster_id")}
     voices = lambda f: {"clustered_voices": I.assign_clusters(f["voices"], average_linkage(f["voices"], "case_id", "voice_id", "embedding", s.voice_cut).withColumnRenamed("cluster", "voice_cluster_id"), "voice_id", "voice_cluster_id")}
     steps: list[tuple[str, list[str], Callable[[Frames], Frames]]] = [
         ("entities", ["nodes"], entities),
         ("temporal_alignment", ["nodes"], lambda f: {"temporal": temporal_alignment(f["nodes"], s.least_overlap)}),
         ("similarity", ["nodes"], lambda f: {"similar": like_edges(f["nodes"], "clip_embedding", s.similar, "SIMILAR_TO")}),
-        ("face_detection", ["faces"], lambda f: {}),
+        ("face_detection", ["nodes"], faces_found),
         ("face_clustering", ["faces"], faces),
         ("document_video_linking", ["nodes"], lambda f: {"referenced": references(f["nodes"], s.referenced)}),
         ("transcript_visual_linking", ["nodes"], linking),
@@ -192,7 +210,7 @@ def graph_pipeline(settings: Settings | None = None, agents: Agents | None = Non
         ("timeline_events", ["nodes", "mentions"], events),
         ("claim_extraction", ["nodes"], claim_extraction),
         ("contradiction_detection", ["claims", "mentions", "alignments", "event_links"], contradictions),
-        ("voice_diarization", ["voices"], lambda f: {}),
+        ("voice_diarization", ["nodes"], voices_found),
         ("voice_clustering", ["voices"], voices),
         ("identity_fusion", ["clustered_faces", "clustered_voices"], fusion),
         ("timeline_sync", ["nodes", "files"], sync),

@@ -17,6 +17,7 @@ from ledgerlens.operators.graph import average_linkage, density_clusters, linkag
 from ledgerlens.operators.ordered import following, next_marked, running_max
 from ledgerlens.operators.temporal import asof_forward, moments
 from ledgerlens.operators.vectors import checked, cross_above, guarded, pairs_above
+from ledgerlens.plans import detect as D
 from ledgerlens.plans import reports as R
 from ledgerlens.plans.build import Agents, Settings, build_graph
 from ledgerlens.plans.enrich import default_analyzers, enrich, run_record, to_enrich, write_back
@@ -381,7 +382,7 @@ def test_build_graph(spark):
     voices = spark.createDataFrame([("c", "f1", "v1", 0.0, 10.0, turn(0, 4)), ("c", "f1", "v2", 10.0, 20.0, turn(4, 4))], "case_id string, source_file_id string, voice_id string, start_time double, end_time double, embedding array<float>")
     agents = Agents(entities=dictionary_entities({"Jordan": "person", "knife": "weapon"}), claims=lambda t: t, judge=word_judge(), names=lambda t: "Jordan" if "Jordan" in t else "none", prompts=lambda t: turn(1, 4))
     got, report = build_graph({"nodes": nodes, "files": files, "faces": faces, "voices": voices}, Settings(), agents)
-    assert len(report) == 15 and [(s.step, s.detail) for s in report if s.state != "ok"] == []
+    assert len(report) == 15 and {s.step for s in report} >= {"face_detection", "voice_diarization"} and [(s.step, s.detail) for s in report if s.state != "ok"] == []
     assert {(r.canonical_name, r.entity_type, r.mention_count, r.node_count) for r in got["entities"].collect()} == {("Jordan", "person", 2, 2), ("knife", "weapon", 4, 3)}
     assert {(r.a, r.b, r.kind) for r in got["alignments"].collect()} == {("n1", "n2", "ALIGNS_WITH"), ("n1", "n3", "SIMILAR_TO"), ("n1", "n4", "SIMILAR_TO"), ("n3", "n4", "SIMILAR_TO"), ("n4", "n1", "REFERENCES"), ("n4", "n3", "REFERENCES"), ("n1", "n3", "DESCRIBES")}
     assert [(r.event_id, r.members) for r in got["events"].collect()] == [("n1", 2)]
@@ -417,3 +418,27 @@ def test_reports(spark):
     ordered = nodes.withColumn("page_number", F.lit(None).cast("int")).withColumn("start_time", F.col("at").cast("double")).withColumn("created_at", F.col("enriched_at")).orderBy(*R.file_order())
     assert [r.node_id for r in ordered.collect()] == ["n0", "n1", "n2", "n3", "n4", "n9"]
     assert R.candidates(nodes.withColumn("node_type", F.lit("page")).withColumn("text_content", F.lit("")), ["page"], with_text=True).count() == 0
+
+
+def test_faces_and_turns(spark, tmp_path):
+    for n in ("a.jpg", "b.jpg", "s.wav"):
+        (tmp_path / n).write_bytes(b"x")
+    at = lambda n: str(tmp_path / n)
+    rows = [
+        ("c", "f", "n1", "scene_segment", 0.0, 5.0, None, {"frames": [{"timestamp": 1.0, "path": at("a.jpg")}, {"timestamp": 2.0, "path": at("gone.jpg")}], "audio_path": at("s.wav")}),
+        ("c", "f", "n2", "scene_segment", 5.0, 9.0, None, {"frames": [], "audio_path": at("s.wav")}),
+        ("c", "g", "n3", "image", None, None, at("b.jpg"), None),
+    ]
+    nodes = spark.createDataFrame(rows, f"case_id string, source_file_id string, node_id string, node_type string, start_time double, end_time double, file_path string, metadata {M.METADATA}")
+    unit = [1.0] + [0.0] * 511
+    detector = LazyModel("faces", lambda: lambda p: [((0, 0, 1, 1), 0.9, unit), ((1, 1, 2, 2), 0.2, unit), ((0, 0, 1, 1), 0.9, unit), ((3, 3, 4, 4), 0.8, [1.0])])
+    faces = D.detect_faces(nodes, detector)
+    assert sorted((r.node_id, r.frame_path) for r in faces.collect()) == [("n1", at("a.jpg")), ("n3", at("b.jpg"))]
+    assert rows_of(faces.select("face_id")) == rows_of(D.detect_faces(nodes, detector).select("face_id"))
+    assert [r.node_id for r in D.nodes_without_faces(nodes, faces).collect()] == ["n2"] and D.detect_faces(nodes, detector, D.nodes_without_faces(nodes, faces)).count() == 0
+    assert D.detect_faces(nodes, LazyModel("broken faces", lambda: lambda p: 1 / 0)).count() == 0
+    turns = D.diarize(nodes, LazyModel("turns", lambda: lambda p: [(0.0, 2.0, "A", [0.5] * 256), (2.0, 2.0, "B", [0.5] * 256)]))
+    assert [(r.source_file_id, r.start_time, r.speaker_label) for r in turns.collect()] == [("f", 0.0, "A")]
+    clustered = faces.withColumn("face_cluster_id", F.lit("k"))
+    own = D.cluster_table(clustered, "face_cluster_id").first()
+    assert own.members == 2 and own.representative_embedding[0] == pytest.approx(1.0)

@@ -33,5 +33,5 @@ def test_query_agrees_with_its_sql(spark, tiny, name):
 
 
 def test_core_without_the_subpackage(tmp_path):
-    code = "import sys; sys.modules['ledgerlens.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('p1_') for k in e.queries())"
+    code = "import sys; sys.modules['ledgerlens.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('p1_') for k in e.queries()); from ledgerlens.session import build_session; assert e.entry(build_session('alone', 'local[2]')).count() > 0"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
