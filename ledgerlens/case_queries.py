@@ -644,7 +644,7 @@ def search_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, list[flo
 @query(
     "search_hybrid",
     f"""WITH {F_SQL}, {CN}, {QV}, {HITS}, u AS (SELECT id, s * 0.45 AS p, ['visual'] AS tags FROM vv UNION ALL SELECT id, s * 0.55, tags FROM tt)
-    SELECT id AS node_id, round(sum(p), 6) AS score, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS matched_on FROM u GROUP BY id ORDER BY sum(p) DESC, id LIMIT 20""",
+    SELECT id AS node_id, round(sum(p), 6) AS score, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS matched_on FROM u GROUP BY id ORDER BY round(sum(p), 12) DESC, id LIMIT 20""",
 )
 def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     rows, clip, text = search_inputs(spark, folder)
@@ -652,7 +652,7 @@ def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("node_id", F.round("score", 6).alias("score"), F.array_join("matched_on", ",").alias("matched_on"))
 
 
-@query("search_text", f"WITH {F_SQL}, {CN}, {QV}, {HITS} SELECT id AS node_id, round(s, 6) AS score, array_to_string(tags, ',') AS matched_on FROM tt ORDER BY s DESC, id LIMIT 20")
+@query("search_text", f"WITH {F_SQL}, {CN}, {QV}, {HITS} SELECT id AS node_id, round(s, 6) AS score, array_to_string(tags, ',') AS matched_on FROM tt ORDER BY round(s, 12) DESC, id LIMIT 20")
 def search_text(spark: SparkSession, folder: str) -> DataFrame:
     rows, _, text = search_inputs(spark, folder)
     got = Q.search(rows, "who cracked the phone at the turnstile", None, text, "text", limit=20)

@@ -49,7 +49,12 @@ def hybrid(visual: DataFrame, text: DataFrame, id_col: str, limit: int) -> DataF
         tags = F.col("matched_on") if "matched_on" in df.columns else F.array(F.lit(name))
         parts.append(df.select(id_col, (F.col("score") * WEIGHT[name]).alias("part"), tags.alias("tags")))
     merged = parts[0].unionByName(parts[1]).groupBy(id_col).agg(F.sum("part").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("matched_on"))
-    return merged.orderBy(F.desc("score"), id_col).limit(limit)
+    return best_first(merged, id_col).limit(limit)
+
+
+def best_first(hits: DataFrame, id_col: str) -> DataFrame:
+    """By falling score; scores that differ only in their last digits are equal, and go by id."""
+    return hits.orderBy(F.desc(F.round("score", 12)), id_col)
 
 
 def fold_keywords(text: DataFrame, keyword: DataFrame, id_col: str) -> DataFrame:
@@ -90,7 +95,7 @@ def search(nodes: DataFrame, words: str, visual: list[float] | None, text: list[
         read = fold_keywords(near, found, "node_id")
     if mode == "hybrid":
         return hybrid(seen, read, "node_id", limit)
-    return (seen if read is None else read).orderBy(F.desc("score"), "node_id").limit(limit)
+    return best_first(seen if read is None else read, "node_id").limit(limit)
 
 
 def search_terms(words: str) -> list[str]:
