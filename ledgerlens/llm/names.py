@@ -27,7 +27,7 @@ from ledgerlens.llm.components import star_forest
 from ledgerlens.runtime import Scratch, lookup_join
 
 #: Cosine from which two names are linked, alikeness of their words that a link must have, average cosine from which groups merge.
-COSINE, ALIKE, GROUP = 0.3, 0.5, 0.25
+COSINE, ALIKE, GROUP = 0.25, 0.5, 0.2
 #: Weight of a firm's initials beside all its grams.
 SHORT = 0.6
 #: Names, or share of all, that hold what parts a word from a like one if the word was typed on purpose.
@@ -276,6 +276,9 @@ def similarity(x: Name, y: Name) -> float:
         matched, _ = _align(x.words, y.words, x, y)
         if not matched or max(min(len(x.words[i]), len(y.words[j])) for i, j, _ in matched) < 3:
             return 0.0
+        # Of two names with first and last name both must agree: an initial can't stand for the one while the other differs.
+        if len(matched) < min(2, len(x.words), len(y.words)):
+            return 0.0
         left_x = [w for i, w in enumerate(x.words) if i not in {m[0] for m in matched}]
         left_y = [w for j, w in enumerate(y.words) if j not in {m[1] for m in matched}]
         initials_x, initials_y = list(x.initials), list(y.initials)
