@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import fuse, intent, keywords, match_count, normalize_name, seconds_in, snippet, subject
+from ledgerlens.functions.text import CLAUSE, CLOCK, MAX_TERMS, MIN_TERM, QUESTION_STOPWORDS, SEARCH_STOPWORDS, SECONDS, fuse, intent, keywords, match_count, normalize_name, seconds_in, snippet, subject
 from ledgerlens.functions.vector import centroids, cosine
 from ledgerlens.operators.graph import average_linkage, density_clusters, greedy_matching
 from ledgerlens.operators.intervals import periods_and_gaps
@@ -280,10 +280,20 @@ def question_intents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "eval_item").select("item_id", intent(F.col("question")).alias("intent"))
 
 
-@query("question_keywords")
+def words_sql(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query(
+    "question_keywords",
+    rf"""WITH k AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(question, '[A-Za-z0-9][A-Za-z0-9''-]*'), lambda x: lower(x)), lambda x: length(x) >= {MIN_TERM} AND NOT list_contains({words_sql(SEARCH_STOPWORDS)}, x)) AS w, question,
+      regexp_extract_all(coalesce(nullif(regexp_extract(question, '(?i){CLAUSE}', 1), ''), question), '[A-Za-z][A-Za-z''-]*') AS s FROM eval_item)
+    SELECT item_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:{MAX_TERMS}], ' ') AS terms, nullif(array_to_string(list_filter(s, lambda x: NOT list_contains({words_sql(QUESTION_STOPWORDS)}, lower(x))), ' '), '') AS subject,
+      CASE WHEN regexp_matches(question, '{CLOCK}') THEN regexp_extract(question, '{CLOCK}', 1)::DOUBLE * 60 + regexp_extract(question, '{CLOCK}', 2)::DOUBLE ELSE TRY_CAST(nullif(regexp_extract(question, '(?i){SECONDS}', 1), '') AS DOUBLE) END AS seconds FROM k""",
+)
 def question_keywords(spark: SparkSession, folder: str) -> DataFrame:
     q = F.col("question")
-    return table(spark, folder, "eval_item").select("item_id", keywords(q).alias("terms"), subject(q).alias("subject"), seconds_in(q).alias("seconds"))
+    return table(spark, folder, "eval_item").select("item_id", F.array_join(keywords(q), " ").alias("terms"), subject(q).alias("subject"), seconds_in(q).alias("seconds"))
 
 
 @query(
